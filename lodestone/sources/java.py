@@ -21,6 +21,8 @@ _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "new", "else"
 _BRANCH = re.compile(r"\b(?:if|while|for|catch)\b\s*\(|\bdo\b\s*\{|\bcase\b[^:]*:|(?<![<,])\?(?![>,\s]*[>,])[^:;]*:")
 _WRITES = ("persist", "merge", "remove", "save", "saveAll", "saveAndFlush", "delete", "deleteAll", "deleteById", "executeUpdate", "flush")
 _SKIPPED = ("java.lang", "java.util", "java.io", "java.nio")
+#: Types that need no import.
+_LANG = frozenset("Boolean Byte Character Class Double Enum Error Exception Float Integer Iterable Long Number Object Runnable Short String StringBuilder Thread Throwable Void".split())
 
 
 def blank(source: str) -> str:
@@ -51,7 +53,9 @@ def parse(path: str, source: str) -> list[tuple]:
 
     def full(name: str) -> str:
         name = re.sub(r"<.*", "", name, flags=re.S).strip().removesuffix("[]")
-        return name if "." in name else by_name.get(name, f"{package}.{name}" if package and name[:1].isupper() else name)
+        if "." in name or name in by_name:
+            return by_name.get(name, name)
+        return f"java.lang.{name}" if name in _LANG else f"{package}.{name}" if package and name[:1].isupper() else name
 
     notes = lambda text: [full(a) for a in re.findall(r"@([\w.]+)", text)]
     rows: list[tuple] = []
@@ -101,6 +105,7 @@ def parse(path: str, source: str) -> list[tuple]:
                 continue
             stop = closing(body, m.end() - 1) if m[6] == "{" else m.end()
             covered.append((m.start(), stop))
+            made = m[4] == c[4]  # a constructor has no type before its name
             kinds = [re.sub(r"@\w+(?:\([^)]*\))?\s*|\bfinal\s+", "", p).strip().rsplit(" ", 1)[0] for p in re.split(r",(?![^<]*>)", m[5]) if p.strip()]
             method = f"{fqn}#{m[4]}({','.join(kinds)})"
             text = body[m.end() : stop]
@@ -109,12 +114,12 @@ def parse(path: str, source: str) -> list[tuple]:
             writes = int(bool(re.search(r"@Modifying\b", m[1] or ""))) or int(bool(re.search(r"@Query\s*\([^)]*\"\s*(?:update|delete|insert)", raw, re.I)))
             writes += int(any(re.search(rf"\.\s*{w}\s*\(", text) for w in _WRITES))
             methods.append(m[4])
-            rows.append(("method", method, fqn, m[4], (m[3] or "").strip(), [str(writes), "constructor" if m[4] == c[4] and not m[3] else "method"], ways, path))
+            rows.append(("method", method, fqn, m[4], re.sub(r"^(?:(?:public|protected|private|static|final|abstract|synchronized|default)\b\s*)+", "", (m[3] or "").strip()), [str(writes), "constructor" if made else "method"], ways, path))
             rows += [("call", method, fqn, x, "", [], None, path) for x in sorted(set(re.findall(r"(?<![\w@])(\w+)\s*\(", text)) - _NOT_METHODS) if not x[:1].isupper()]
             rows += [("text_key", method, fqn, x, "", [], None, path) for x in re.findall(r"getNLS\s*\(\s*\"([^\"]+)\"", raw)]
             if "Repository" in labels and ("@Query" in (m[1] or "") or re.match(r"(?:find|get|read|query|count|exists|delete)\w*By", m[4])):
                 rows.append(("query_method", method, fqn, m[4], "", [], None, path))
-            if m[4] == c[4] and not m[3]:
+            if made:
                 rows += [("depends", fqn, fqn, full(k), "CONSTRUCTOR", [], None, path) for k in kinds if full(k) in imports or "." in full(k)]
         rest = list(body)
         for b, e in covered:
