@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op4_url_filter": urls.sql(), "op8_exact_dedup": exact_dedup.SQL}

@@ -105,6 +105,21 @@ def test_distrust_reaches_those_that_link_to_bad_hosts(spark):
     assert sorted((r["page_id"], r["verdict"]) for r in urls.judge(d).collect()) == [(1, "block"), (2, "allow"), (2, "allow")]
 
 
+def test_urls_with_links_against_sql(spark, tmp_path):
+    r = random.Random(6)
+    hosts = [f"h{i}.test" for i in range(12)] + ["x.casino-win.example.com", "a.example.com"]
+    link = lambda: r.choice(['<a href="http://%s/p">', "<A class=x HREF='//%s'>", '<a href="HTTPS://%s?q">', '<a href="/%s">']) % r.choice(hosts)
+    pages = [(i, f"http://{r.choice(hosts)}/{r.choice(['en/7', 'x', ''])}", "".join(link() + "t</a>" for _ in range(r.randint(0, 3)))) for i in range(60)] + [(5, None, None)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    d.write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want, got = c.sql(urls.sql()).df(), urls.judge(d).toPandas()
+    cols = sorted(want.columns)
+    assert sorted(map(repr, got[cols].astype(object).where(got[cols].notna(), None).values.tolist())) == sorted(map(repr, want[cols].astype(object).where(want[cols].notna(), None).values.tolist()))
+    assert (want.distrust > 0).sum() > 5 and want.verdict.nunique() == 2
+
+
 # ---- language
 
 
@@ -270,13 +285,13 @@ def test_entry_lists_all(spark):
     json.dumps(e.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate", "op8_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op4_url_filter", "op8_exact_dedup"])
 def test_sql(spark, name):
     import __spark_entry__ as e
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         c.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     want = c.sql(e.oracle_sql()[name]).df()
     got = e.queries()[name](spark, d).toPandas()
