@@ -7,7 +7,7 @@ count and the first twenty details in order, and derives the status.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.graph import bfs, without_path
 from lodestone.operators.lexicon import RULE_NAME
 from lodestone.operators.modules import legacy
+from lodestone.plans.scratch import cut
 
 DETAILS = 20
 ENTITY = ("javax.persistence.Entity", "jakarta.persistence.Entity")
@@ -36,7 +37,10 @@ class Graph:
     actions: DataFrame
     pilot: str = "pilot"
     wrappers: str = "com.acme.wrappers."
-    extra: dict = field(default_factory=dict)
+
+    def settled(self) -> Graph:
+        """The same graph with the tables that most checks read computed once and written to the checkpoint folder."""
+        return replace(self, classes=cut(self.classes), edges=cut(self.edges), actions=cut(self.actions))
 
     def of(self, *types: str) -> DataFrame:
         return self.edges.where(F.col("type").isin(*types))
@@ -187,7 +191,7 @@ def report(graph: Graph, checks=CHECKS) -> DataFrame:
 
     A count of zero passes; else a warning warns and an error fails. The count of call edges is meant to be positive.
     """
-    out = None
+    graph, out = graph.settled(), None
     for c in checks:
         df, n, details = c.run(graph)
         row = df.agg(n.cast("long").alias("count"), details.alias("details"))
