@@ -8,9 +8,12 @@ commit protocol (a lost executor leaves no half-written shard) and any file syst
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,8 +25,8 @@ MAGIC = b"LSTOKEN1"
 BLOCK = 4096
 #: A shard is closed after so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 20, 8192
-#: Words whose ids a worker remembers at most.
-CACHE_WORDS = 300_000
+#: Words, and pieces of words, in one generation of a worker's memory.
+CACHE_WORDS, CACHE_PIECES = 200_000, 400_000
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 _HEAD = struct.Struct("<8sIIQI")  # magic, bits, block, ids, documents
@@ -107,32 +110,104 @@ class Shard:
         return self.range(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+class Recent:
+    """A memory of two generations: what was used since the older one filled up stays, so common words always do."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys) -> list:
+        """The distinct keys that aren't known; known ones are young from now on."""
+        out = []
+        for k in set(keys) - self.young.keys():
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.young[k] = v
+        return out
+
+    def age(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    White space ends every token of this vocabulary's pre-tokenizer, so a text's ids are its words' ids; the library
-    encodes each word that the worker doesn't remember. Ids come as little-endian uint32 bytes.
+    This vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
+    Within a word of Latin letters and ASCII it cuts contractions, runs of letters, single digits and runs of other
+    signs; the library's model encodes each such piece that the worker doesn't remember, and the whole library each word
+    with other characters. Ids come as little-endian uint32 bytes.
     """
 
+    _LATIN = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+    _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^0-9{_LATIN}]+")
+    #: What the cutting above isn't meant for: other characters, and special tokens, which are written <|...|>.
+    _OTHER = re.compile("[^\n\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|<\\|")
+
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import os
 
-        self.tokenizer = Tokenizer.from_file(path)
+        import numpy as np
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, np.bool_)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.known: dict[bytes, bytes] = {}
+        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_PIECES)
+
+    def _encode_pieces(self, found: list[str]) -> list[bytes]:
+        """Ids of lower-case pieces; every piece ends with a token that ends a word."""
+        import numpy as np
+
+        out = []
+        for i in range(0, len(found), 2000):
+            part = found[i : i + 2000]
+            ids = np.array(self.bare.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(at) != len(part) + 1 or at[-1] != len(raw):
+                raise ValueError("this vocabulary doesn't mark the ends of words")
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _encode_words(self, found: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False))]
 
     def encode(self, found: list[bytes]) -> list[bytes]:
-        split = [x.split() for x in found]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = list({w for row in split for w in row if w not in self.known})
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                ids = e.ids
-                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, row)) for row in split]
+        # Lower case first makes fewer words to remember; only where it could make a special token it waits.
+        split = [(x if b"<|" in x else x.lower()).split() for x in found]
+        words, pieces = self.words, self.pieces
+        fresh = words.missing(chain.from_iterable(split))
+        names = b"\n".join(fresh).decode("utf-8", "replace")
+        if self._OTHER.search(names):
+            texts_ = [w.decode("utf-8", "replace") for w in fresh]
+            odd = [bool(self._OTHER.search(t)) for t in texts_]
+            whole = [w for w, x in zip(fresh, odd) if x]
+            words.young.update(zip(whole, self._encode_words([t for t, x in zip(texts_, odd) if x])))
+            fresh, names = [w for w, x in zip(fresh, odd) if not x], "\n".join(t for t, x in zip(texts_, odd) if not x)
+        if fresh:
+            names, cut = names.lower().split("\n"), self._PIECE.findall
+            flat = [t if t.isalpha() else cut(t) for t in names]
+            new = pieces.missing(chain.from_iterable((t,) if t.__class__ is str else t for t in flat))
+            pieces.young.update(zip(new, self._encode_pieces(new)))
+            get = pieces.young.__getitem__
+            words.young.update(zip(fresh, [get(t) if t.__class__ is str else b"".join(map(get, t)) for t in flat]))
+        get = words.young.__getitem__
+        out = [b"".join(map(get, row)) for row in split]
+        words.age()
+        pieces.age()
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, so what it remembers outlives a task."""
+    return Encoder(path)
 
 
 _SHARDS = "part int, seq long, n_ids long, n_docs int, shard binary"
@@ -150,9 +225,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part, seq = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        own, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
-        bits = max(encoder.bits, end_id.bit_length())
+        bits = max(own.bits, end_id.bit_length())
         doc_ids, lengths, chunks, size = [], [], [], 0
 
         def close():
@@ -166,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             )
 
         for batch in batches:
-            for number, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+            for number, raw in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist())):
                 doc_ids.append(number)
                 chunks.append(raw + end)
                 lengths.append(len(raw) // 4 + 1)
