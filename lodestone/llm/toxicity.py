@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segment search.
 
 Every word scores its log-odds of toxic against clean text. The odds are posterior means under Dirichlet priors that are
-nested by word beginnings: a word's prior is its first six bytes' posterior, theirs that of the first five, and so on up
+nested by word beginnings, over the number of texts that hold it: a word's prior is its first six bytes' posterior, theirs that of the first five, and so on up
 to even odds, so unseen forms of a toxic stem score too. A linear scan finds all maximal segments; extreme-value theory
 (the tail of such segments in clean text) turns their scores into nats beyond chance, which a logistic curve fitted on
 the training rows turns into a document's score.
@@ -22,7 +22,7 @@ from lodestone.llm.words import NORMAL
 #: Labelled rows of each class in the fit sample, on average, and the characters of each that are read.
 FIT_ROWS, FIT_CHARS = 3000, 30_000
 #: Strength of the prior at each level.
-PRIOR = 4.0
+PRIOR = 10.0
 PREFIXES = (4, 5, 6)
 #: Taken off every word's log-odds, so that a word without a sign counts against a segment; floor and ceiling of scores.
 OFFSET, FLOOR, CEILING = 0.8, -0.8, 5.0
@@ -73,14 +73,27 @@ class Scores(dict):
         return x
 
 
+def unlike(found: list[str]) -> Iterator[list[bytes]]:
+    """The words of each text whose smallest three-word hash no earlier text has; near copies mostly share it."""
+    import xxhash
+
+    seen = set()
+    for text in found:
+        words = tokens(text)
+        key = min((xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+        if key not in seen:
+            seen.add(key)
+            yield words
+
+
 class Model:
     def __init__(self, toxic: list[str], clean: list[str]) -> None:
         import numpy as np
 
         counts = [Counter(), Counter()]
         for side, found in enumerate((toxic, clean)):
-            for text in found:
-                counts[side].update(tokens(text))
+            for words in unlike(found):  # copies, near ones too, and repeats within a text are no further evidence
+                counts[side].update(set(words))
         sums = [sum(c.values()) for c in counts]
         ratio = sums[0] / sums[1] if sums[1] else 1.0
         self.share: dict[bytes, float] = {}
@@ -120,7 +133,7 @@ class Model:
 
     @staticmethod
     def _decay(values) -> float:
-        """The positive root of mean(exp(root * score)) = 1 in clean text."""
+        """The positive root of mean(exp(root * score)) = 1 in clean text; 10 if it lies beyond, so one word can't say it all."""
         import numpy as np
 
         if not len(values) or values.max() <= 0 or values.mean() >= 0:
@@ -149,7 +162,12 @@ class Model:
         return [(a, b, x) for a, b, s in self.find(words) if (x := self.decay * s - chance) > 0]
 
     def nats(self, words: list[bytes]) -> float:
-        return min(50.0, sum(x for _, _, x in self.passages(words)))
+        """Of all passages, the same words counting once."""
+        return self._sum(words, self.passages(words))
+
+    @staticmethod
+    def _sum(words: list[bytes], found: list[tuple[int, int, float]]) -> float:
+        return min(50.0, sum({tuple(words[a : b + 1]): x for a, b, x in found}.values()))
 
     def _calibrate(self, x, y) -> None:
         """Logistic curve over log(1 + nats) by a few damped Newton steps."""
@@ -166,7 +184,7 @@ class Model:
     def score(self, text: str) -> tuple[float, int]:
         words = tokens(text)
         found = self.passages(words)
-        nats = min(50.0, sum(x for _, _, x in found))
+        nats = self._sum(words, found)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * math.log1p(nats) + self.b)))), len(found)
 
 

@@ -188,7 +188,7 @@ def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score_documents(docs, labels).where("held_out").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").toPandas()
     hit, said, all_ = ((got.predicted == 1) & (got.toxic == 1)).sum(), (got.predicted == 1).sum(), (got.toxic == 1).sum()
-    assert hit / said > 0.9 and hit / all_ > 0.85
+    assert hit / said > 0.9 and hit / all_ > 0.9
 
 
 def test_toxicity_edge_cases(spark, docs, awkward, empty):
