@@ -14,6 +14,13 @@ from lodestone.plans.scratch import cut
 
 #: Hops that a variable-length path goes at most.
 MAX_HOPS = 10
+#: A level or a set of visited nodes of up to so many rows is broadcast, so the edges stay where they are; a larger one
+#: is joined by shuffle.
+SMALL_ROWS = 200_000
+
+
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
@@ -21,18 +28,20 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFr
 
     A start is reached only if it lies on a cycle, so it isn't marked as visited beforehand. starts has one column node.
     """
-    edges = cut(edges.select("src", "dst").distinct().repartition("src"))
-    frontier, visited = starts.select("node").distinct(), None
+    edges = cut(edges.select("src", "dst").distinct())
+    frontier = cut(starts.select("node").distinct())
+    rows, visited, seen = frontier.count(), None, 0
     for hop in range(1, max_hops + 1):
-        reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        reached = edges.join(_side(frontier.withColumnRenamed("node", "src"), rows), "src").select(F.col("dst").alias("node")).distinct()
         if visited is not None:
-            reached = reached.join(visited, "node", "left_anti")
+            reached = reached.join(_side(visited.select("node"), seen), "node", "left_anti")
         frontier = cut(reached)
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
         level = frontier.withColumn("hop", F.lit(hop))
         visited = level if visited is None else visited.unionByName(level)
-        frontier = level.select("node")
+        seen += rows
     return visited if visited is not None else starts.sparkSession.createDataFrame([], "node string, hop int")
 
 
