@@ -17,6 +17,7 @@ SALTS = 32
 BATCH_ROWS = 1000
 
 _own_root: str | None = None
+_made: list[str] = []
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -37,7 +38,15 @@ def scratch(spark: SparkSession, what: str) -> str:
             atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
         context.setCheckpointDir(_own_root)
         root = _own_root
-    return f"{root.rstrip('/')}/lodestone-{what}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/lodestone-{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch path made so far; plans that read them can't run any more."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, what: str) -> DataFrame:

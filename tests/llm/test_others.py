@@ -277,6 +277,21 @@ def test_pipeline_against_its_parts(spark):
     assert got == {x[0] for x in plain(rows, items) if not x[-1]}
 
 
+def test_scratch_is_released(spark):
+    import os
+
+    from lodestone.llm import common
+
+    held = common._made[:]
+    common._made.clear()
+    common.store(spark.range(3), "x")
+    path = common._made[0].removeprefix("file:")
+    assert os.path.exists(path)
+    common.release(spark)
+    assert not os.path.exists(path) and not common._made
+    common._made.extend(held)
+
+
 def test_entry_lists_all(spark):
     import __spark_entry__ as e
 
