@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.workers import importable
+
 #: Copies of the small side of a salted join; a key with a third of all rows is dealt to so many tasks.
 SALTS = 32
 #: Rows of one Arrow batch: whole texts are long, so batches are short.
@@ -69,9 +71,10 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how
     )
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound what one Arrow batch of whole texts holds; called before any Python step is planned."""
+    importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def texts(docs: DataFrame, text: str = "text") -> DataFrame:

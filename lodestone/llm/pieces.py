@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import store, table
+from lodestone.llm.common import short_batches, store, table
 
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) ->
                 )
                 key += 1
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    short_batches(spark, 32)
     chunks = store(
         long.mapInArrow(split, "key long, doc_id long, no int, n int, before string, core string, after string, free boolean, ends_free boolean"),
         "chunks",
@@ -290,7 +290,7 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) ->
     joined = traced.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.first("n").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts")
     )
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    short_batches(spark, 500)
     return (
         rows.where(F.length("text") <= chunk_chars)
         .mapInArrow(short, "doc_id long, n_chunks int, ids array<int>")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch, table, texts
+from lodestone.llm.common import scratch, short_batches, table, texts
 
 MAGIC = b"LSTOKEN1"
 BLOCK = 4096
@@ -258,7 +258,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document from the shards at path: doc_id, start, n_tokens, ids_crc32."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    short_batches(spark, 4)
     shards = spark.read.schema(_SHARDS).parquet(path)
 
     def run(batches) -> Iterator:

@@ -90,8 +90,11 @@ class Model:
     def __init__(self, toxic: list[str], clean: list[str]) -> None:
         import numpy as np
 
+        # Odds come from two thirds of the sample; chance in clean text and the curve from the rest, which the odds haven't seen.
+        part = lambda found, rest: [x for i, x in enumerate(found) if (i % 3 == 2) == rest] if len(found) > 2 else found
+        seen, (toxic, clean) = (part(toxic, False), part(clean, False)), (part(toxic, True), part(clean, True))
         counts = [Counter(), Counter()]
-        for side, found in enumerate((toxic, clean)):
+        for side, found in enumerate(seen):
             for words in unlike(found):  # copies, near ones too, and repeats within a text are no further evidence
                 counts[side].update(set(words))
         sums = [sum(c.values()) for c in counts]
@@ -145,11 +148,14 @@ class Model:
         return lo
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """Maximal scoring segments as (first word, last word, score)."""
+        """Maximal scoring segments as (first word, last word, score); a word said again at once adds nothing."""
         import numpy as np
 
         values = np.fromiter(map(self.scores.__getitem__, words), np.float64, len(words))
         up = np.flatnonzero(values > 0)
+        if len(again := [i for i in up.tolist() if i and words[i] == words[i - 1]]):
+            values[again] = 0
+            up = np.flatnonzero(values > 0)
         if not len(up):
             return []
         sums = np.concatenate([[0.0], np.cumsum(values)])
