@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.workers import importable
+
 SCHEMA = "kind string, id string, owner string, name string, value string, extra array<string>, number int, path string"
 _CLASS = re.compile(r"((?:@[\w.]+(?:\([^)]*\))?\s*)*)((?:(?:public|protected|private|abstract|final|static)\s+)*)(class|interface|enum)\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.]+)(?:<[^{]*?>)?)?(?:\s+(?:implements|extends)\s+([\w.,<>\s]+?))?\s*\{")
 _METHOD = re.compile(r"((?:@[\w.]+(?:\((?:[^()]|\([^)]*\))*\))?\s*)*)((?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*)(?:<[^>]+>\s+)?([\w.<>\[\], ?]+?\s+)?(\w+)\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:throws\s+[\w.,\s]+)?(\{|;)")
@@ -160,6 +162,7 @@ def extract(files: DataFrame) -> DataFrame:
             out["number"] = out["number"].astype("Int32")
             yield out
 
+    importable(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
