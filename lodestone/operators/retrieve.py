@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import hop_text
 from lodestone.operators.graph import cone_with_hops
 from lodestone.operators.vectors import top_k
+from lodestone.plans.scratch import cut
 
 VECTOR, GRAPH, RISK = 0.40, 0.35, 0.25
 BUDGET = int(8000 * 0.9)
@@ -59,11 +60,16 @@ def top_terms(cone: DataFrame, uses: DataFrame, k: int = 10) -> DataFrame:
 
 def token_budget(ranked: DataFrame, tokens: str = "tokens", rank: str = "rank", others: int = 0, budget: int = BUDGET, whole: int | None = None) -> DataFrame:
     """The rows that stay when the last ones are dropped until all fits: a row stays if what is dropped after it doesn't
-    suffice. whole is the estimate for all rows as one list (their sum, if None); a result list is short, so one task
-    orders it."""
-    tail = F.sum(tokens).over(W.orderBy(F.desc(rank)).rowsBetween(W.unboundedPreceding, -1))
-    total = F.lit(whole) if whole is not None else F.sum(tokens).over(W.partitionBy(F.lit(1)))
-    return ranked.withColumn("__left", total + F.lit(others) - F.coalesce(tail, F.lit(0))).where(F.col("__left") <= budget).drop("__left")
+    suffice. whole is the estimate for all rows as one list (their sum, if None). Ranges of the rank are summed each by
+    itself and then moved on by the sum of the ranges behind, so only one row a range is ever ordered in one task."""
+    parts = cut(ranked.repartitionByRange(rank).withColumn("__part", F.spark_partition_id()))
+    sums = parts.groupBy("__part").agg(F.sum(tokens).alias("__own"))
+    behind = F.sum("__own").over(W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1))
+    total = F.lit(whole) if whole is not None else F.sum("__own").over(W.partitionBy(F.lit(1)))
+    moved = sums.select("__part", (total + F.lit(others) - F.coalesce(behind, F.lit(0))).alias("__from"))
+    tail = F.sum(tokens).over(W.partitionBy("__part").orderBy(F.desc(rank)).rowsBetween(W.unboundedPreceding, -1))
+    left = parts.withColumn("__tail", F.coalesce(tail, F.lit(0))).join(moved, "__part")
+    return left.where(F.col("__from") - F.col("__tail") <= budget).select(ranked.columns)
 
 
 def completeness(cone: bool, risk: bool, terms: bool, rules: bool, chunks: bool) -> float:

@@ -542,6 +542,13 @@ def rule_overlay(s, d):
     return rules.overlay(*books).select("source", "target", "book", "pos", "is_base")
 
 
+@query("rule_overlay_all", ", b AS (SELECT p_partkey % 40 AS k, p_partkey AS pos, p_partkey % 3 AS book, p_type AS target FROM part), f AS (SELECT k, min(book) AS book, max(book) AS last FROM b GROUP BY k) SELECT concat('s', k) AS source, (SELECT max_by(target, pos) FROM b WHERE b.k = f.k AND b.book = f.last) AS target, CAST(book AS INT) AS book, (SELECT min(pos) FROM b WHERE b.k = f.k AND b.book = f.book) AS pos, last = 0 AS is_base FROM f")
+def rule_overlay_all(s, d):
+    p = a.read(s, d, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 40).cast("string")).alias("source"), F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 3).alias("b"), F.col("p_type").alias("target"))
+    books = [p.where(F.col("b") == k).drop("b") for k in range(3)]
+    return rules.overlay(*books).select("source", "target", "book", "pos", "is_base")
+
+
 @query("rule_gaps", "SELECT concat('com.vaadin.ui.T', i) AS source, i * 3 AS usage_count FROM (VALUES (5), (7)) t(i)")
 def rule_gaps(s, d):
     return rules.gaps(_rules(s)).select("source", "usage_count")
@@ -624,6 +631,13 @@ def token_budget(s, d):
     return retrieve.token_budget(first, rank="doc_id").select("doc_id", "tokens")
 
 
+@query("token_budget_all", "SELECT doc_id, tokens FROM (SELECT doc_id, n_chars // 4 AS tokens, sum(n_chars // 4) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS rest, sum(n_chars // 4) OVER () AS whole FROM documents) WHERE rest * 10 <= whole * 9")
+def token_budget_all(s, d):
+    ranked = a.read(s, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 4).alias("tokens"))
+    whole = ranked.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    return retrieve.token_budget(ranked, rank="doc_id", budget=whole * 9 // 10).select("doc_id", "tokens")
+
+
 @query("reindex_diff", "SELECT doc_id, CASE WHEN doc_id % 25 = 0 THEN 'deleted' WHEN doc_id % 10 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM documents")
 def reindex_diff(s, d):
     docs = a.read(s, d, "documents").select(F.col("doc_id").alias("key"), "text")

@@ -198,6 +198,27 @@ def test_token_budget_drops_the_tail(spark):
     assert kept(120) == [1, 2, 3] and kept(119) == [1, 2] and kept(80) == [1, 2] and kept(79) == [1] and kept(10) == [] and kept(100, others=50) == [1]
 
 
+def test_token_budget_is_dealt_by_ranges(spark):
+    d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("rank"), (F.col("id") % 5).alias("tokens"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = retrieve.token_budget(d, budget=1500).select("rank", "tokens", F.spark_partition_id().alias("p")).collect()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    left, want = 0, []
+    for rank, tokens in sorted(map(tuple, d.select("rank", "tokens").collect())):
+        left += tokens
+        want += [(rank, tokens)] if left <= 1500 else []
+    assert sorted((r["rank"], r["tokens"]) for r in got) == want and len({r["p"] for r in got}) > 1
+
+
+def test_whole_tables_enter(spark, tmp_path):
+    from lodestone.queries import queries
+
+    spark.range(300).select(F.col("id").alias("doc_id"), F.lit(40).cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(300).select(F.col("id").alias("p_partkey"), F.concat(F.lit("t"), F.col("id")).alias("p_type")).write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(r["doc_id"] for r in queries()["token_budget_all"](spark, str(tmp_path)).collect()) == list(range(270))
+    assert max(int(r["target"][1:]) for r in queries()["rule_overlay_all"](spark, str(tmp_path)).collect()) == 299
+
+
 def test_merge(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, y int")
     new = spark.createDataFrame([(2, None, 9), (3, "c", 3)], "k int, x string, y int")
