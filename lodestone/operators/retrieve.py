@@ -30,16 +30,23 @@ def final_score(similarity: Column, hop: Column, risk: Column) -> Column:
 
 
 def rerank(hits: DataFrame, hops: DataFrame, risk: DataFrame, limit: int = 20, id_column: str = "vec_id") -> DataFrame:
-    """hits(fqn, score, ...), hops(fqn, hop), risk(fqn, enhanced_risk) -> the best by the final score."""
+    """hits(fqn, score, ...), hops(fqn, hop), risk(fqn, enhanced_risk) -> the best by the final score, of each query_id if
+    the hits have one."""
     limit = max(1, min(100, limit))
     j = hits.join(hops, "fqn", "left").join(risk.select("fqn", "enhanced_risk"), "fqn", "left")
-    return j.withColumn("final_score", F.round(final_score(F.col("score"), F.col("hop"), F.col("enhanced_risk")), 6)).withColumn("path", hop_text(F.col("hop"))).orderBy(F.desc("final_score"), id_column).limit(limit)
+    j = j.withColumn("final_score", F.round(final_score(F.col("score"), F.col("hop"), F.col("enhanced_risk")), 6)).withColumn("path", hop_text(F.col("hop")))
+    order = F.desc("final_score"), id_column
+    if "query_id" in hits.columns:
+        return j.withColumn("__at", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("__at") <= limit).drop("__at")
+    return j.orderBy(*order).limit(limit)
 
 
 def retrieve(points: DataFrame, query: DataFrame, edges: DataFrame, risk: DataFrame, focal: DataFrame | None = None, limit: int = 20, seeds: int = 3) -> DataFrame:
     """From a focal class (focal: one column node), or from the classes of the best hits: cones with the smallest hop, the
     nearest points inside them over-fetched threefold, then re-ranked."""
     if focal is None:
+        if "query_id" in query.columns:
+            raise ValueError("several queries need a focal class")
         focal = top_k(points, query, seeds).select(F.col("fqn").alias("node")).distinct()
     hops = cone_with_hops(edges, focal).select(F.col("node").alias("fqn"), "hop")
     hits = top_k(points.join(hops, "fqn", "left_semi"), query, 3 * limit)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import uuid5
+from lodestone.plans.scratch import cut
+from lodestone.plans.workers import importable
 
 #: Order in which a class's stereotype is picked.
 PRIORITY = ("Service", "Repository", "VaadinView", "Controller")
+#: Vectors of a block of points and of a block of queries.
+POINT_BLOCK, QUERY_BLOCK = 2048, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,18 +29,78 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top_k(points: DataFrame, query: DataFrame, k: int = 10, id_column: str = "vec_id", **equals: str | None) -> DataFrame:
-    """The k points nearest to the one query vector by cosine; keyword filters and membership apply before scoring.
+    """The k points nearest to the query vector by cosine; keyword filters and membership apply before scoring.
 
-    query has one row with a column vector. Each partition keeps its own best k, so only those are shuffled.
+    query has one row with a column vector (more rows are an error), or any number of rows with query_id and vector: then
+    each query gets its own k, in rows that begin with query_id. Each partition keeps its own best k, so only those are
+    shuffled.
     """
     for column, value in equals.items():
         if value is not None:
             points = points.where(F.col(column) == value)
-    q = query.select(F.col("vector").alias("__q")).limit(1)
+    if "query_id" in query.columns:
+        return _top_k_each(points, query.select("query_id", "vector"), k, id_column)
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several query vectors need a query_id"))).otherwise(F.first("vector"))
+    q = query.agg(one.alias("__q"), F.count(F.lit(1)).alias("__n")).where("__n > 0").drop("__n")
     scored = points.crossJoin(F.broadcast(q)).withColumn("score", F.round(cosine(F.col("vector"), F.col("__q")), 6)).drop("__q")  # one row
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
+def _top_k_each(points: DataFrame, queries: DataFrame, k: int, id_column: str) -> DataFrame:
+    """Every query against all points, a block of queries at a time as products of matrices.
+
+    A partition passes on the points whose product reaches the k best it has seen (less what rounding can turn); the
+    score itself is the expression of the single search, taken over those few only. Each block's points are written to
+    the checkpoint folder, so the driver and the workers never hold more than a block of queries.
+    """
+    spark = points.sparkSession
+    importable(spark)
+    types = {x: df.schema[x].dataType.simpleString() for df, x in ((queries, "query_id"), (points, id_column))}
+
+    def unit(vectors):
+        """Rows of length 1, and which have a direction at all."""
+        import numpy as np
+
+        size = max((len(x) for x in vectors if x is not None), default=0)
+        v = np.array([[0.0] * size if x is None else x for x in vectors], float).reshape(len(vectors), size)
+        n = np.sqrt((v * v).sum(axis=1))
+        return v / np.where(n > 0, n, 1)[:, None], n > 0
+
+    def nearest(block):
+        held = spark.sparkContext.broadcast(([r["query_id"] for r in block], *unit([r["vector"] for r in block])))
+
+        def run(batches) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            ids, q, q_ok = held.value
+            ids, top = pa.array(ids), np.full((len(q), k), -np.inf)
+            for batch in batches:
+                for at in range(0, batch.num_rows, POINT_BLOCK):
+                    part = batch.slice(at, POINT_BLOCK)
+                    p, p_ok = unit(part.column("vector").to_pylist())
+                    scores = np.where(q_ok[:, None] & p_ok, q @ p.T, -2.0) if p.shape[1] == q.shape[1] else np.full((len(q), len(p)), -2.0)
+                    both = np.hstack([top, scores])
+                    top = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                    row, col = np.nonzero(scores >= top.min(axis=1)[:, None] - 2e-6)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), part.column("point").take(pa.array(col))], names=["query_id", "point"])
+
+        found = cut(points.select(F.col(id_column).alias("point"), "vector").mapInArrow(run, f"query_id {types['query_id']}, point {types[id_column]}").distinct())
+        held.destroy()
+        return found
+
+    near, rows = spark.createDataFrame([], f"query_id {types['query_id']}, point {types[id_column]}"), queries.toLocalIterator()
+    while block := list(islice(rows, QUERY_BLOCK)):
+        near = near.unionByName(nearest(block))
+    scored = (
+        points.join(near.withColumnRenamed("point", id_column), id_column)
+        .join(queries.withColumnRenamed("vector", "__q"), "query_id")
+        .withColumn("score", F.round(cosine(F.col("vector"), F.col("__q")), 6))
+    )
+    best = scored.withColumn("__at", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_column))).where(F.col("__at") <= k)
+    return best.select("query_id", *points.columns, "score")
+
+
 def top_k_within(points: DataFrame, members: DataFrame, query: DataFrame, k: int = 10, id_column: str = "vec_id") -> DataFrame:
     """top_k among the points of the members given by fqn."""
     return top_k(points.join(members.select("fqn").distinct(), "fqn", "left_semi"), query, k, id_column)

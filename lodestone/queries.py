@@ -614,6 +614,42 @@ def rerank(s, d):
     return retrieve.retrieve(_points(s, d), _query_vector(s, d), edges, _scored(s, d), focal).select("vec_id", "hop", "score", "final_score")
 
 
+# The same searches with every query vector: the rows whose id is divisible by 100.
+_EACH = "SELECT q.vec_id AS query_id, p.*, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q CROSS JOIN {p} p WHERE q.vec_id % 100 = 0"
+_BEST = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
+
+
+def _query_vectors(s, d):
+    return a.chunks(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+
+
+@query("vector_topk_each", f", e AS ({_EACH.format(p='embeddings')}) SELECT query_id, vec_id, concat('m', label) AS module, score FROM e QUALIFY {_BEST} <= 10")
+def vector_topk_each(s, d):
+    return vectors.top_k(a.chunks(s, d), _query_vectors(s, d)).select("query_id", "vec_id", "module", "score")
+
+
+@query("vector_topk_filtered_each", f", e AS ({_EACH.format(p='(FROM embeddings WHERE label = 3)')}) SELECT query_id, vec_id, score FROM e QUALIFY {_BEST} <= 10")
+def vector_topk_filtered_each(s, d):
+    return vectors.top_k(a.chunks(s, d), _query_vectors(s, d), module="m3").select("query_id", "vec_id", "score")
+
+
+_CONE_EACH = "e AS (" + _EACH.format(p="(SELECT vec_id, fqn, embedding FROM embeddings JOIN cls ON cls.id = vec_id WHERE fqn IN (SELECT node FROM cone))") + ")"
+
+
+@query("vector_cone_topk_each", f"{_CONE}, {_CONE_EACH} SELECT query_id, vec_id, score FROM e QUALIFY {_BEST} <= 10")
+def vector_cone_topk_each(s, d):
+    edges = a.depends_on(s, d).select("src", "dst").unionByName(a.extends(s, d))
+    cone = graph.cone_with_hops(edges, s.createDataFrame([(_one(s, d),)], "node string")).select(F.col("node").alias("fqn"))
+    return vectors.top_k_within(_points(s, d), cone, _query_vectors(s, d)).select("query_id", "vec_id", "score")
+
+
+@query("rerank_each", f"{_SCORES}{_CONE}, hp AS (SELECT node, coalesce(min(hop) FILTER (hop > 0), 0) AS hop FROM cone GROUP BY node), {_CONE_EACH}, hits AS (SELECT query_id, vec_id, fqn, score FROM e QUALIFY {_BEST} <= 60), f AS (SELECT query_id, vec_id, CAST(hop AS INT) AS hop, hits.score, round(0.4*hits.score + 0.35/greatest(hop, 1) + 0.25*enhanced_risk, 6) AS final_score FROM hits JOIN hp ON hp.node = hits.fqn JOIN sc USING (fqn)) FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, vec_id) <= 20")
+def rerank_each(s, d):
+    edges = a.depends_on(s, d).select("src", "dst").unionByName(a.extends(s, d))
+    focal = s.createDataFrame([(_one(s, d),)], "node string")
+    return retrieve.retrieve(_points(s, d), _query_vectors(s, d), edges, _scored(s, d), focal).select("query_id", "vec_id", "hop", "score", "final_score")
+
+
 @query("cone_summary", _SCORES + _CONE + f" SELECT count(*) AS cone_size, count(*) FILTER ({_LEGACY}) AS legacy_count, round(avg(enhanced_risk), 6) AS avg_risk FROM sc WHERE fqn IN (SELECT node FROM cone)")
 def cone_summary(s, d):
     scored = _scored(s, d)

@@ -182,6 +182,21 @@ def test_vectors(spark):
     assert sum(x * x for x in d[0]["vector"]) == pytest.approx(1.0) and set(d[1]["vector"]) == {0.0}
 
 
+def test_every_query_vector_gets_its_own_best(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "POINT_BLOCK", 7)
+    r = random.Random(3)
+    p = spark.createDataFrame([(i, [float(r.randint(-3, 3)) for _ in range(3)]) for i in range(200)] + [(200, [0.0] * 3), (201, None)], "vec_id long, vector array<double>")
+    q = p.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    got = vectors.top_k(p, q, 6).collect()
+    assert len(got) == 11 * 6
+    for i, v in map(tuple, q.collect()):
+        want = vectors.top_k(p, spark.createDataFrame([(v,)], "vector array<double>"), 6).select("vec_id", "score").collect()
+        assert sorted(map(str, want)) == sorted(str(x) for x in map(lambda x: type(want[0])(**{"vec_id": x["vec_id"], "score": x["score"]}), (x for x in got if x["query_id"] == i)))
+    with pytest.raises(Exception, match="several query vectors"):
+        vectors.top_k(p, q.drop("query_id")).collect()
+
+
 def test_uuid5_is_the_standards(spark):
     import uuid
 
