@@ -33,21 +33,23 @@ NOTICES = {
 }
 #: What announces a licence expression, as normalised words.
 TAGS = ("spdx license identifier", "license expression")
-_TAG_TEXT = re.compile(rb"(?i)(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)[\"']?\s*[:=]\s*[\"']?([^\r\n\"'<>]{1,500})")
+_TAG_TEXT = re.compile(rb"(?i)(?:spdx[-_ ]license[-_ ]identifier|license[-_ ]expression)[\"']?\s*[:=]\s*[\"']?")
+_END = re.compile("[\\r\\n\"'<>]|\\Z")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 #: Labels that leave a text free to use, alone or with others.
 PERMISSIVE = ("apache-2.0", "mit", "bsd", "isc", "cc0", "cc-by", "public-domain", "zlib", "unlicense", "0bsd", "bsl-1.0")
 
 
-def parse(expression: str):
+def parse(expression: str, at: int = 0, end: int | None = None):
     """A licence expression as a tree of (operator, left, right) and lower-case identifiers, by shunting-yard.
 
     WITH binds closest, then AND, then OR. Reading stops at the first word that can't go on an expression; an expression
-    that breaks off gives what is complete, or None.
+    that breaks off gives what is complete, or None. Only the part from at to end is read.
     """
     output, operators = [], []
     want = True  # an operand or an opening bracket comes next
+    depth = 0  # open brackets
 
     def reduce() -> bool:
         op = operators.pop()
@@ -57,8 +59,8 @@ def parse(expression: str):
         output.append((op, left, right))
         return True
 
-    for token in _TOKEN.findall(expression):
-        word = token.lower()
+    for token in _TOKEN.finditer(expression, at, len(expression) if end is None else end):
+        word = token[0].lower()
         if word in _RANK:
             if want:
                 break
@@ -70,12 +72,14 @@ def parse(expression: str):
             if not want:
                 break
             operators.append(word)
+            depth += 1
         elif word == ")":
-            if want or "(" not in operators:
+            if want or not depth:
                 break
             while operators[-1] != "(":
                 reduce()
             operators.pop()
+            depth -= 1
         else:
             if not want:
                 break
@@ -91,12 +95,14 @@ def parse(expression: str):
 
 def identifiers(tree) -> set[str]:
     """The licences an expression names, exceptions behind WITH left out."""
-    if tree is None:
-        return set()
-    if isinstance(tree, str):
-        return {tree}
-    op, left, right = tree
-    return identifiers(left) | (set() if op == "with" else identifiers(right))
+    found, left = set(), [] if tree is None else [tree]
+    while left:
+        x = left.pop()
+        if isinstance(x, str):
+            found.add(x)
+        else:
+            left += x[1:2] if x[0] == "with" else x[1:]
+    return found
 
 
 def family(identifier: str) -> str:
@@ -109,12 +115,18 @@ def family(identifier: str) -> str:
 
 def freedom(tree) -> float:
     """1 if the expression can be met by permissive licences only, 0.5 if it can't; OR takes the better, AND the worse."""
-    if isinstance(tree, str):
-        return 1.0 if family(tree) in PERMISSIVE else 0.5
-    op, left, right = tree
-    if op == "with":
-        return freedom(left)
-    return (max if op == "or" else min)(freedom(left), freedom(right))
+    left, values = [tree], []
+    while left:
+        x = left.pop()
+        if isinstance(x, str):
+            values.append(1.0 if family(x) in PERMISSIVE else 0.5)
+        elif len(x) == 1:  # both sides are known
+            values.append((max if x[0] == "or" else min)(values.pop(), values.pop()))
+        elif x[0] == "with":
+            left.append(x[1])
+        else:
+            left += (x[:1], x[1], x[2])
+    return values[0]
 
 
 def automaton():
@@ -144,8 +156,11 @@ def scan(data: bytes, matcher) -> tuple:
         else:
             tagged = True
     if tagged:
+        source, end = data.decode("latin-1"), -1  # names are ASCII; a place is the same in the bytes
         for m in _TAG_TEXT.finditer(data):
-            tree = parse(m[1].decode("utf-8", "replace"))
+            if end < m.end():
+                end = _END.search(source, m.end()).start()
+            tree = parse(source, m.end(), end)
             if tree is not None:
                 more |= {family(x) for x in identifiers(tree)}
                 strength.append(freedom(tree))

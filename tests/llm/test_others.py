@@ -50,6 +50,19 @@ def test_shunting_yard():
     assert licences.freedom(p("GPL-3.0 OR MIT")) == 1 and licences.freedom(p("GPL-3.0 AND MIT")) == 0.5
 
 
+def test_licence_expressions_are_read_whole():
+    names = " AND ".join(f"LicenseRef-part-of-the-whole-{i}" for i in range(50))
+    for line in (f"SPDX-License-Identifier: {names} AND GPL-3.0\nMIT", f'"license-expression": "{names} AND GPL-3.0", MIT'):
+        labels, score = licences.scan(line.encode(), licences.automaton())[5:]
+        assert set(labels.split(",")) == {f"licenseref-part-of-the-whole-{i}" for i in range(50)} | {"gpl"} and score == 0.5
+    line = "SPDX-License-Identifier: MIT so far " + "x " * 20 + "SPDX-License-Identifier: GPL-3.0 then 'SPDX-License-Identifier: ISC'"
+    assert licences.scan(line.encode(), licences.automaton())[5:] == ("gpl,isc,mit", 1.0)
+    deep = "(" * 5000 + "MIT" + " AND MIT)" * 5000
+    assert licences.scan(f"SPDX-License-Identifier: {deep} AND GPL-2.0".encode(), licences.automaton())[5:] == ("gpl,mit", 0.5)
+    right = "MIT AND (" * 5000 + "GPL-2.0 OR ISC" + ")" * 5000
+    assert licences.scan(f"SPDX-License-Identifier: {right}".encode(), licences.automaton())[5:] == ("gpl,isc,mit", 1.0)
+
+
 # ---- url filters
 
 
