@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import salted_join, short_batches, store, table
 from lodestone.llm.urls import host_of
 
-#: Rows of the fit sample for each declared language, characters of each, and languages at most (of the most rows).
-FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 400, 20_000, 64
+#: Rows of the fit sample for each declared language, characters of each, and languages fitted in one pass.
+FIT_ROWS, FIT_CHARS, FIT_BLOCK = 400, 20_000, 64
 #: Trigram hash buckets and additive smoothing.
 BUCKETS, SMOOTHING = 1 << 16, 0.2
 #: Trigrams are no independent witnesses: a text weighs as so many of them at most.
@@ -84,15 +84,40 @@ def likelihoods(found: list[str], table) -> list[list[float]]:
     return out
 
 
-def fit_sample(rows: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[str, str]]:
-    """A bounded sample of rows(id, text, declared) with about fit_rows of each declared language, by the hash of id."""
+def fit_samples(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """Bounded samples of rows(id, text, declared) with about fit_rows of each declared language, by the hash of id; a
+    (is the last, sample) for each block of FIT_BLOCK languages in alphabetical order, so every declared language is in one."""
     labelled = rows.where("declared is not null and declared <> '' and text <> ''")
-    counts = labelled.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(FIT_LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["declared"], min(1.0, fit_rows / r["count"]))))
-    drawn = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("declared")) * 1_000_000
-    return [(r["declared"], r["text"]) for r in labelled.where(drawn).select("declared", F.substring("text", 1, FIT_CHARS).alias("text")).collect()]
+    counts = labelled.groupBy("declared").count().collect()  # a row a language
+    counts.sort(key=lambda r: r["declared"])
+    for at in range(0, len(counts), FIT_BLOCK):
+        share = F.create_map(*(F.lit(x) for r in counts[at : at + FIT_BLOCK] for x in (r["declared"], min(1.0, fit_rows / r["count"]))))
+        drawn = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("declared")) * 1_000_000
+        yield at + FIT_BLOCK >= len(counts), [(r["declared"], r["text"]) for r in labelled.where(drawn).select("declared", F.substring("text", 1, FIT_CHARS).alias("text")).collect()]
+
+
+def evidence(rows: DataFrame, model, last: bool) -> DataFrame:
+    """rows(id, text, declared, host, suffix, ll), ll followed by the likelihoods of the languages of model; the last model
+    leaves of the text its length (n) and whether it has letters."""
+    held = rows.sparkSession.sparkContext.broadcast(model)  # at most FIT_BLOCK x BUCKETS floats
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = batch.column("text").to_pylist()
+            # 0.0 letters: the text is no evidence
+            values = likelihoods(found, held.value) if found and len(held.value) else [[]] * len(found)
+            values = [a + b for a, b in zip(batch.column("ll").to_pylist(), values)]
+            kept = {c: batch.column(c) for c in ("id", "declared", "host", "suffix")}
+            if last:
+                kept |= {"n": pa.array([len(x) for x in found], pa.int64()), "letters": pa.array([any(map(str.isalpha, x)) for x in found], pa.bool_())}
+            else:
+                kept["text"] = batch.column("text")
+            yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(values, pa.list_(pa.float64()))], names=[*kept, "ll"])
+
+    text = "n long, letters boolean" if last else "text string"
+    return rows.mapInArrow(run, f"id long, declared string, host string, suffix string, {text}, ll array<double>")
 
 
 def identify(rows: DataFrame, accepted=None, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -109,40 +134,30 @@ def identify(rows: DataFrame, accepted=None, fit_rows: int = FIT_ROWS) -> DataFr
         "id", F.coalesce("text", F.lit("")).alias("text"), F.lower(F.trim("declared")).alias("declared"),
         F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"),
     ).withColumn("declared", F.regexp_extract("declared", "^[a-z]+", 0))
-    sample = fit_sample(rows, fit_rows)
     letters = F.col("text").rlike(r"\p{L}")
-    if not sample:
+    languages: list[str] = []
+    first = rows.withColumn("ll", F.array().cast("array<double>"))
+    for last, sample in fit_samples(rows, fit_rows):
+        more, model = fit(sample)
+        languages += more
+        first = store(evidence(first, model, last), "evidence")
+    if not languages:
         return rows.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"), letters.alias("accepted"))
-    languages, model = fit(sample)
-    held = spark.sparkContext.broadcast(model)  # languages x buckets: at most FIT_LANGUAGES x BUCKETS floats
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            found = batch.column("text").to_pylist()
-            # 0.0 letters: the text is no evidence
-            values = likelihoods(found, held.value) if found else []
-            alpha = [any(map(str.isalpha, x)) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "declared", "host", "suffix")), pa.array([len(x) for x in found], pa.int64()), pa.array(alpha, pa.bool_()), pa.array(values, pa.list_(pa.float64()))],
-                names=["id", "declared", "host", "suffix", "n", "letters", "ll"],
-            )
-
-    first = store(rows.mapInArrow(run, "id long, declared string, host string, suffix string, n long, letters boolean, ll array<double>"), "evidence")
     k = len(languages)
-    best = F.array_position("ll", F.array_max("ll"))
-    tally = lambda keys: first.where("letters").groupBy(*keys).agg(*(F.count_if(best == i + 1).cast("double").alias(f"c{i}") for i in range(k)))
-    by_host = store(tally(["suffix", "host"]), "host-counts")
-    suffixes = by_host.groupBy("suffix").agg(*(F.sum(f"c{i}").alias(f"s{i}") for i in range(k)))
-    total = by_host.agg(*(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"g{i}") for i in range(k))).first()
+    best = F.array_position("ll", F.array_max("ll")).cast("int")
+    by_host = store(first.where("letters").groupBy("suffix", "host", best.alias("best")).agg(F.count(F.lit(1)).cast("double").alias("n")), "host-counts")
+    seen = dict(map(tuple, by_host.groupBy("best").agg(F.sum("n")).collect()))
+    total = [seen.get(i + 1, 0.0) for i in range(k)]
     whole = sum(total) + k
     top = [(x + 1) / whole for x in total]
-    s_sum, c_sum = sum(F.col(f"s{i}") for i in range(k)), sum(F.col(f"c{i}") for i in range(k))
-    suffix_prior = suffixes.select("suffix", *(((F.col(f"s{i}") + SUFFIX_STRENGTH * top[i]) / (s_sum + SUFFIX_STRENGTH)).alias(f"p{i}") for i in range(k)))
-    host_prior = by_host.join(suffix_prior, "suffix").select(
+    tops, order = F.array(*map(F.lit, top)), F.sequence(F.lit(1), F.lit(k))
+    tally = lambda df, keys, name: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias(name), F.sum("n").alias(f"{name}_sum"))
+    count = lambda name, i: F.coalesce(F.try_element_at(F.col(name), i), F.lit(0.0))
+    suffixes = tally(by_host.groupBy("suffix", "best").agg(F.sum("n").alias("n")), ["suffix"], "s")
+    suffix_prior = suffixes.select("suffix", F.transform(order, lambda i: (count("s", i) + SUFFIX_STRENGTH * F.element_at(tops, i)) / (F.col("s_sum") + SUFFIX_STRENGTH)).alias("p"))
+    host_prior = tally(by_host, ["suffix", "host"], "c").join(suffix_prior, "suffix").select(
         F.concat_ws("\t", "suffix", "host").alias("site"),
-        F.array(*(F.ln((F.col(f"c{i}") + HOST_STRENGTH * F.col(f"p{i}")) / (c_sum + HOST_STRENGTH)) for i in range(k))).alias("prior"),
+        F.transform(order, lambda i: F.ln((count("c", i) + HOST_STRENGTH * F.element_at("p", i)) / (F.col("c_sum") + HOST_STRENGTH))).alias("prior"),
     )
     import math
 

@@ -156,6 +156,27 @@ def test_language_edge_cases(spark, docs, awkward, empty):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {i for i, _ in awkward} - {4, 5, 6}
 
 
+def test_every_declared_language_is_fitted(spark):
+    import string
+
+    r, rows = random.Random(8), []
+    for k in range(70):
+        name = string.ascii_lowercase[k // 26] + string.ascii_lowercase[k % 26]
+        words = ["".join(r.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(6)]
+        rows += [(k * 10 + i, " ".join(r.choice(words) for _ in range(30)), name if i else None, name) for i in range(4 if k else 5)]
+    d = spark.createDataFrame(rows, "id long, text string, declared string, want string")
+    d = d.withColumn("host", F.lit(None).cast("string")).withColumn("suffix", F.lit(None).cast("string"))
+    got = {x["id"]: (x["text_language"], x["language"]) for x in language.identify(d).collect()}
+    assert got == {i: (want, want) for i, _, _, want in rows}
+
+
+def test_blocks_of_languages_change_nothing(spark, monkeypatch):
+    rows = language.document_rows(spark.read.parquet(f"{SF}/documents.parquet"))
+    whole = sorted(map(tuple, language.identify(rows).collect()))
+    monkeypatch.setattr(language, "FIT_BLOCK", 3)
+    assert sorted(map(tuple, language.identify(rows).collect())) == whole
+
+
 def test_likelihoods_do_not_depend_on_neighbours():
     _, table = language.fit([("a", "aaa aba"), ("b", "bbb bab")])
     found = ["aab", "", "x" * 2000, "Bba", "ab"]
