@@ -27,18 +27,21 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose contents aren't text of the page.
-SILENT = "script|style|head|noscript|template|svg|iframe|object|canvas|select|textarea|button|audio|video|math"
+#: Elements whose contents aren't text of the page; script and style run to the end of the page if nothing ends them.
+SILENT = frozenset("title noscript template svg iframe object canvas select textarea button audio video math".split())
+#: Silent elements that can't hold one of their kind: a second start tag shows that the first was left open.
+_FLAT = frozenset("title iframe select textarea button".split())
 #: A start tag of the key ends an open element of the values, up to the nearest of the last set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{SILENT})(?=[\s/>])(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
     re.S | re.I,
 )
+_SILENT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(SILENT))})(?=[\s/>])[^>]*?(/?)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 GOOD = frozenset("article articlebody body content entry main post prose page story text reader news blog paragraph copy".split())
@@ -65,13 +68,49 @@ class Node:
         self.label = None
 
 
+def silent_ends(source: str) -> dict[int, int]:
+    """Where silent elements end, by the place of their start tag; ones closed by themselves or never aren't in it."""
+    ends: dict[int, int] = {}
+    left: dict[str, list[int]] = {}
+    for m in _SILENT_TAG.finditer(source):
+        tag = m[2].lower()
+        starts = left.setdefault(tag, [])
+        if m[1]:
+            if starts:
+                ends[starts.pop()] = m.end()
+        elif not m[3]:
+            if tag in _FLAT:
+                starts.clear()
+            starts.append(m.start())
+    return ends
+
+
+def head_end(source: str, at: int, silent: dict[int, int]) -> int:
+    """Where the head whose start tag ends at at is over: behind its end tag; before the body, the first block or the first
+    text, whichever comes first, if it has none before them."""
+    text = -1  # of the first text
+    while m := _TOKEN.search(source, at):
+        if text < 0 and source[at : m.start()].strip():
+            text = at
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if tag == "head" and (m["close"] or m["close2"]):
+            return m.end()
+        if tag in BLOCKS:
+            return m.start() if text < 0 else text
+        at = silent.get(m.start(), m.end()) if tag in SILENT else m.end()
+    return at if text < 0 else text
+
+
 def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order (the root first) and text blocks as (element, text), in one pass.
 
-    Inline elements don't make nodes: unclosed or crossed ones can't upset the tree.
+    Inline elements don't make nodes: unclosed or crossed ones can't upset the tree. A silent element that closes itself
+    or is never closed is empty.
     """
     nodes, texts = [Node("html", (), -1)], []
     stack, buffer, anchors, at = [0], [], 0, 0
+    silent = silent_ends(source)
+    headed = False
 
     def flush() -> None:
         if buffer:
@@ -83,7 +122,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def pop_to(k: int) -> None:
         del stack[k:]
 
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         if m.start() > at:
             piece = source[at : m.start()]
             buffer.append(piece)
@@ -92,10 +131,19 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
-            if m["raw"] and m["raw"].lower() != "head":
+            if m["raw"]:
                 buffer.append(" ")
             continue
         tag, closing = tag.lower(), bool(m["close"] or m["close2"])
+        if tag == "head":
+            if not closing and not headed:
+                headed, at = True, head_end(source, at, silent)
+            continue
+        if tag in SILENT:
+            if not closing:
+                buffer.append(" ")
+                at = silent.get(m.start(), at)
+            continue
         if tag not in BLOCKS:
             if tag == "a":
                 anchors = 0 if closing else 1
@@ -327,7 +375,8 @@ def extract_many(found: list[str], trees: Boosted) -> list[str]:
     for nodes, texts in parsed:
         keep = decode(nodes, logits[at : at + len(nodes)])
         at += len(nodes)
-        out.append("\n".join(text for i, text in texts if i and keep[i]))
+        body = next((i for i, x in enumerate(nodes) if x.tag == "body"), 0)
+        out.append("\n".join(text for i, text in texts if keep[i or body]))
     return out
 
 
@@ -335,7 +384,8 @@ def extract(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars; one row per page.
 
     Null html counts as empty and gives the empty text. Character references are decoded, white space inside a block is
-    one space (a line break too), blocks are joined by one newline; text outside every element of the body isn't content.
+    one space (a line break too), blocks are joined by one newline; text outside every element counts as
+    the body's own, and is content if there is no body.
     Repeated rows come out repeated, other columns are ignored.
     """
     spark = pages.sparkSession

@@ -272,6 +272,30 @@ def test_html_hierarchy_and_parts():
     assert html_text.extract_many(["", "<", "<p", "<<>>", "<!--", "<script>", "<p>" * 3000, "plain"], html_text.model())[0] == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><article><p>main text", ["main text"]),
+        ("<html><head><title>t</title><p>main text", ["main text"]),
+        ("<html><head><title>t</title><script>'<p>'</script>main <b>text</b><p>more", ["main text", "more"]),
+        ("<head><title>t</title></head><body><p>main text", ["main text"]),
+        ("<article><p>a</p><iframe src=x/><p>b", ["a", "b"]),
+        ("<p>a</p><svg/><p>b</p><svg><text>no</text></svg><p>c", ["a", "b", "c"]),
+        ("<p>a</p><button class=x><p>b</p><button>no</button><p>c", ["a", "b", "c"]),
+        ("<p>a</p><object>no<object>no</object>no</object><p>b", ["a", "b"]),
+        ("<p>a</p><select><p>b", ["a", "b"]),
+        ("<p>a</p><style>no", ["a"]),
+    ],
+)
+def test_html_open_elements_swallow_nothing(page, want):
+    assert [t for _, t in html_text.parse(page)[1]] == want
+
+
+def test_html_text_without_a_block_stays():
+    got = html_text.extract_many(["plain <b>text</b>", "<html><head><title>t</title>plain text", "<!-- x -->"], html_text.model())
+    assert got == ["plain text", "plain text", ""]
+
+
 def test_html_edge_cases(spark):
     d = spark.createDataFrame([(1, None, None, "t"), (1, "u", "", "t"), (None, "u", "<article><p>Some words here, and more of them.</p></article>", "t")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["n_chars"] == len(r["text"])) for r in html_text.extract(d).collect())
