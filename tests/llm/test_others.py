@@ -170,6 +170,18 @@ def test_every_declared_language_is_fitted(spark):
     assert got == {i: (want, want) for i, _, _, want in rows}
 
 
+def test_pages_bring_markup_and_suffix_as_evidence(spark, tmp_path):
+    page = lambda i, host, lang, text: (i, f"https://{host}/p{i}", f"<html{lang}><head><title>no</title></head><body><p>{text}</p><script>no</script></body></html>")
+    rows = [page(i, f"h{i % 3}.{'fr' if i % 2 else 'uk'}", f" lang='{'fr-FR' if i % 2 else 'en'}'", "xxx yyy zzz" if i % 2 else "aaa bbb ccc") for i in range(60)]
+    # neither text nor markup tells: the suffix of an unseen host does; and markup alone, where nothing else does
+    rows += [page(100, "new.fr", "", "q7"), page(101, "new.uk", "", "q7"), page(102, "new.org", ' lang="fr"', "q7"), page(103, "new.org", ' lang="en"', "q7")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    first = {r["id"]: r for r in language.page_rows(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()}
+    assert (first[1]["declared"], first[1]["host"], first[1]["suffix"], first[1]["text"].split()) == ("fr", "h1.fr", "fr", ["xxx", "yyy", "zzz"])
+    got = {r["page_id"]: r["language"] for r in language.pages_query(spark, str(tmp_path)).collect()}
+    assert {i: got[i] for i in (0, 1, 100, 101, 102, 103)} == {0: "en", 1: "fr", 100: "fr", 101: "en", 102: "fr", 103: "en"}
+
+
 def test_blocks_of_languages_change_nothing(spark, monkeypatch):
     rows = language.document_rows(spark.read.parquet(f"{SF}/documents.parquet"))
     whole = sorted(map(tuple, language.identify(rows).collect()))
