@@ -174,13 +174,18 @@ ACTIONS = (
 )
 
 
-def nation_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): module dependencies between nations of customers and suppliers, with one cycle at the top."""
+def nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, t): every link from a customer's nation to another one that supplies it."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("s"))
     i = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     p = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("t"))
-    real = i.join(p, "l_suppkey").join(o, "o_orderkey").join(c, "o_custkey").where("s > t and (s * 5 + t) % 7 = 0").select("s", "t").distinct()
+    return i.join(p, "l_suppkey").join(o, "o_orderkey").join(c, "o_custkey").where("s <> t").select("s", "t").distinct()
+
+
+def nation_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): module dependencies between nations of customers and suppliers, thinned, with one cycle at the top."""
+    real = nation_links(spark, sf_dir).where("s > t and (s * 5 + t) % 7 = 0")
     cycle = spark.sql("select * from values (23, 24), (24, 23) as x(s, t)")
     return real.unionByName(cycle).distinct().select(F.col("s").cast("string").alias("src"), F.col("t").cast("string").alias("dst"))
 

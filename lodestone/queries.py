@@ -234,6 +234,20 @@ def waves(s, d):
     return graph.waves(a.nations(s, d), a.nation_modules(s, d))
 
 
+@query("waves_all", """, edg AS (SELECT DISTINCT c_nationkey AS s, s_nationkey AS t FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+ JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey <> s_nationkey AND c_nationkey IN (SELECT n_nationkey FROM nation) AND s_nationkey IN (SELECT n_nationkey FROM nation)),
+ rch AS (SELECT s, t FROM edg UNION SELECT r.s, e.t FROM rch r JOIN edg e ON r.t = e.s),
+ held AS (SELECT s AS v FROM rch WHERE t IN (SELECT s FROM rch WHERE s = t)),
+ pth AS (SELECT n_nationkey AS v, 1 AS w FROM nation WHERE n_nationkey NOT IN (SELECT v FROM held)
+         UNION SELECT e.s, p.w + 1 FROM edg e JOIN pth p ON e.t = p.v WHERE e.s NOT IN (SELECT v FROM held)),
+ lng AS (SELECT v, max(w) AS w FROM pth GROUP BY v)
+ SELECT CAST(v AS VARCHAR) AS module, CAST(w AS INT) AS wave FROM lng
+ UNION ALL SELECT CAST(v AS VARCHAR), CAST((SELECT coalesce(max(w), 0) FROM lng) + 1 AS INT) FROM (SELECT DISTINCT v FROM held)""")
+def waves_all(s, d):
+    links = a.nation_links(s, d).select(F.col("s").cast("string").alias("src"), F.col("t").cast("string").alias("dst"))
+    return graph.waves(a.nations(s, d), links)
+
+
 @query("pilot_recommend", f"{_SCORES} SELECT module, class_count, legacy_count, round(avg_risk, 6) AS avg_risk, round(dev, 6) AS risk_diversity, round(score, 6) AS score FROM (SELECT *, 0.4*legacy_count/class_count + 0.3*dev + CASE WHEN class_count BETWEEN 15 AND 40 THEN 0.3 ELSE 0 END AS score FROM (SELECT module, count(*) AS class_count, count(*) FILTER ({_LEGACY}) AS legacy_count, avg(enhanced_risk) AS avg_risk, coalesce(stddev_samp(enhanced_risk), 0) AS dev FROM sc GROUP BY 1 HAVING count(*) >= 5)) ORDER BY round(score, 9) DESC, module LIMIT 5")
 def pilot_recommend(s, d):
     return modules.pilot_recommend(_scored(s, d)).select("module", "class_count", "legacy_count", *_r("avg_risk", "risk_diversity", "score"))

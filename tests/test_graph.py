@@ -234,6 +234,20 @@ def test_whole_tables_enter(spark, tmp_path):
     assert max(int(r["target"][1:]) for r in queries()["rule_overlay_all"](spark, str(tmp_path)).collect()) == 299
 
 
+def test_waves_keep_every_link(spark, tmp_path):
+    from lodestone.queries import queries
+
+    pairs = [(0, 1), (1, 2), (2, 3), (9, 4), (4, 9), (5, 9)]
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("nation", [(i,) for i in (0, 1, 2, 3, 4, 5, 9)], "n_nationkey int")
+    put("customer", [(i, s) for i, (s, _) in enumerate(pairs)], "c_custkey long, c_nationkey int")
+    put("orders", [(i, i) for i in range(len(pairs))], "o_orderkey long, o_custkey long")
+    put("supplier", [(i, t) for i, (_, t) in enumerate(pairs)], "s_suppkey long, s_nationkey int")
+    put("lineitem", [(i, i) for i in range(len(pairs))], "l_orderkey long, l_suppkey long")
+    got = {r["module"]: r["wave"] for r in queries()["waves_all"](spark, str(tmp_path)).collect()}
+    assert got == {"3": 1, "2": 2, "1": 3, "0": 4, "4": 5, "9": 5, "5": 5}
+
+
 def test_merge(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, y int")
     new = spark.createDataFrame([(2, None, 9), (3, "c", 3)], "k int, x string, y int")
