@@ -13,7 +13,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,10 +24,13 @@ MAGIC = b"LSTOKEN1"
 BLOCK = 4096
 #: A shard is closed after so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 20, 8192
-#: Words, and pieces of words, in one generation of a worker's memory.
-CACHE_WORDS, CACHE_PIECES = 200_000, 400_000
+#: Pieces of words in one generation of a worker's memory.
+CACHE_PIECES = 400_000
+#: Texts are cut into pieces in runs of so many bytes and on to the next white space.
+RUN_BYTES = 1 << 19
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+_SPACE = re.compile(rb"[\t-\r ]")
 _HEAD = struct.Struct("<8sIIQI")  # magic, bits, block, ids, documents
 
 
@@ -117,13 +119,14 @@ class Recent:
         self.size, self.young, self.old = size, {}, {}
 
     def missing(self, keys) -> list:
-        """The distinct keys that aren't known; known ones are young from now on."""
-        out = []
-        for k in set(keys) - self.young.keys():
-            if (v := self.old.get(k)) is None:
-                out.append(k)
-            else:
-                self.young[k] = v
+        """Those of distinct keys that aren't known; known ones are young from now on."""
+        out, young, old = [], self.young, self.old
+        for k in keys:
+            if k not in young:
+                if (v := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    young[k] = v
         return out
 
     def age(self) -> None:
@@ -135,15 +138,16 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     This vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
-    Within a word of Latin letters and ASCII it cuts contractions, runs of letters, single digits and runs of other
-    signs; the library's model encodes each such piece that the worker doesn't remember, and the whole library each word
-    with other characters. Ids come as little-endian uint32 bytes.
+    Words of ASCII and composed Latin letters are lower-cased and cut by numpy into the pieces that it would cut them
+    into (contractions, runs of letters, single digits, runs of other signs); any other word, and one that could hold a
+    special token, is a piece by itself as it stands. Arrow numbers a batch's distinct pieces; those that the worker
+    doesn't remember go to the library: pieces to its model, other words to all of it, so that normalising comes first.
     """
 
-    _LATIN = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
-    _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^0-9{_LATIN}]+")
-    #: What the cutting above isn't meant for: other characters, and special tokens, which are written <|...|>.
-    _OTHER = re.compile("[^\n\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|<\\|")
+    #: Composed Latin letters of two bytes, with their lower case: of these normalising changes nothing else.
+    _LETTERS = [c for c in map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x180)])]
+    _CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
+    _SPECIAL = b"<|"
 
     def __init__(self, path: str) -> None:
         import os
@@ -159,7 +163,20 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, np.bool_)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_PIECES)
+        self.known = Recent(CACHE_PIECES)
+        # Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 other sign, 4 beginning or rest of a character that isn't ASCII, 5 control.
+        self.kinds = np.full(256, 5, np.uint8)
+        self.kinds[0x21:0x7F] = 3
+        self.kinds[[0x20, *range(0x09, 0x0E)]] = 0
+        self.kinds[0x30:0x3A] = 2
+        self.kinds[0x80:] = 4
+        self.lower = np.arange(256, dtype=np.uint8)
+        for first, last in (b"az", b"AZ"):
+            self.kinds[first : last + 1] = 1
+        self.lower[0x41:0x5B] += 0x20
+        self.pairs = np.zeros(1 << 16, np.uint16)  # of the letters above: their lower case, as two bytes; else 0
+        for c in self._LETTERS:
+            self.pairs[int.from_bytes(c.encode(), "big")] = int.from_bytes(c.lower().encode(), "big")
 
     def _encode_pieces(self, found: list[str]) -> list[bytes]:
         """Ids of lower-case pieces; every piece ends with a token that ends a word."""
@@ -175,33 +192,114 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _encode_words(self, found: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False))]
+    def _encode_words(self, found: list[bytes]) -> list[bytes]:
+        texts_ = [x.decode("utf-8", "replace") for x in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False))]
+
+    def _cut(self, data: bytes):
+        """(bytes without white space, starts of the pieces in data, lengths of the pieces, which ones are whole other words)."""
+        import numpy as np
+
+        raw = np.frombuffer(data, np.uint8)
+        n = len(raw)
+        kind, low = self.kinds[raw], self.lower[raw]
+        at = np.flatnonzero(kind == 4)
+        if len(at):
+            at = at[at + 1 < n]
+            pair = self.pairs[(raw[at].astype(np.uint16) << 8) | raw[at + 1]]
+            at, pair = at[pair != 0], pair[pair != 0]
+            kind[at] = kind[at + 1] = 1
+            low[at], low[at + 1] = pair >> 8, pair & 0xFF
+        odd = [np.flatnonzero(kind >= 4)]
+        special = data.find(self._SPECIAL)
+        while special >= 0:
+            odd.append(np.array([special]))
+            special = data.find(self._SPECIAL, special + 1)
+        odd = np.concatenate(odd)
+        begins = np.ones(n, np.bool_)  # of pieces
+        np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+        begins |= kind == 2
+        quotes = np.flatnonzero(raw == 0x27)
+        quotes = quotes[(quotes == 0) | (kind[quotes - 1] != 3)]  # else it goes on a run of signs
+        if len(quotes):
+            ahead = low[np.minimum(quotes[:, None] + [1, 2], n - 1)]
+            ahead[quotes + 1 >= n, 0] = ahead[quotes + 2 >= n, 1] = 0x20
+            size = np.zeros(len(quotes), np.int64)
+            for x in self._CONTRACTIONS:
+                size[(ahead[:, : len(x)] == list(x)).all(axis=1)] = len(x)
+            quotes, size = quotes[size > 0], size[size > 0]
+            begins[quotes + 1] = False
+            after = quotes + size + 1
+            begins[after[after < n]] = True
+        space = kind == 0
+        if len(odd):  # whole words, as they stand
+            ends = np.flatnonzero(space)
+            first = np.searchsorted(ends, odd)
+            first, last = np.where(first > 0, ends[first - 1] + 1, 0), np.append(ends, n)[first]
+            first, i = np.unique(first, return_index=True)
+            last = last[i]
+            inside = np.zeros(n + 1, np.int8)
+            inside[first] += 1
+            inside[last] -= 1
+            inside = np.cumsum(inside[:n], dtype=np.int8).astype(np.bool_)
+            begins[inside] = False
+            begins[first] = True
+            begins[last[last < n]] = True
+            low[inside] = raw[inside]
+        begins &= ~space
+        starts = np.flatnonzero(begins)
+        kept = low[~space]
+        places = np.cumsum(~space) - 1
+        sizes = np.diff(places[starts], append=len(kept))
+        return kept, starts, sizes, inside[starts] if len(odd) else np.zeros(len(starts), np.bool_)
 
     def encode(self, found: list[bytes]) -> list[bytes]:
-        # Lower case first makes fewer words to remember; only where it could make a special token it waits.
-        split = [(x if b"<|" in x else x.lower()).split() for x in found]
-        words, pieces = self.words, self.pieces
-        fresh = words.missing(chain.from_iterable(split))
-        names = b"\n".join(fresh).decode("utf-8", "replace")
-        if self._OTHER.search(names):
-            texts_ = [w.decode("utf-8", "replace") for w in fresh]
-            odd = [bool(self._OTHER.search(t)) for t in texts_]
-            whole = [w for w, x in zip(fresh, odd) if x]
-            words.young.update(zip(whole, self._encode_words([t for t, x in zip(texts_, odd) if x])))
-            fresh, names = [w for w, x in zip(fresh, odd) if not x], "\n".join(t for t, x in zip(texts_, odd) if not x)
-        if fresh:
-            names, cut = names.lower().split("\n"), self._PIECE.findall
-            flat = [t if t.isalpha() else cut(t) for t in names]
-            new = pieces.missing(chain.from_iterable((t,) if t.__class__ is str else t for t in flat))
-            pieces.young.update(zip(new, self._encode_pieces(new)))
-            get = pieces.young.__getitem__
-            words.young.update(zip(fresh, [get(t) if t.__class__ is str else b"".join(map(get, t)) for t in flat]))
-        get = words.young.__getitem__
-        out = [b"".join(map(get, row)) for row in split]
-        words.age()
-        pieces.age()
-        return out
+        """Ids of each text as little-endian uint32 bytes."""
+        ids, sizes = self.ids(found)
+        raw, ends = ids.tobytes(), (sizes.cumsum() * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def ids(self, found: list[bytes]):
+        """(ids of all texts, one after the other, as uint32; number of ids of each text)."""
+        import numpy as np
+        import pyarrow as pa
+
+        data = b"\n".join([*found, b""])
+        parts, at = [], 0
+        while at < len(data):  # in runs that end behind white space, so that numpy's arrays stay small
+            end = min(at + RUN_BYTES, len(data))
+            if end < len(data):
+                end = _SPACE.search(data, end).end()
+            kept, starts, sizes, other = self._cut(data[at:end])
+            parts.append((kept, starts + at, sizes, other))
+            at = end
+        if not parts:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        kept, starts, sizes, other = map(np.concatenate, zip(*parts))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        numbered = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+        index = numbered.indices.to_numpy()
+        _, at, held = numbered.dictionary.buffers()
+        at, held = np.frombuffer(at, np.int64, len(numbered.dictionary) + 1).tolist(), held.to_pybytes()
+        pieces = [held[a:b] for a, b in zip(at, at[1:])]
+        new = self.known.missing(pieces)
+        if new:
+            whole = {pieces[i] for i in np.unique(index[other])}
+            words, new = [x for x in new if x in whole], [x for x in new if x not in whole]
+            self.known.young.update(zip(words, self._encode_words(words)))
+            self.known.young.update(zip(new, self._encode_pieces([x.decode() for x in new])))
+        ids_of = list(map(self.known.young.__getitem__, pieces))
+        table = np.frombuffer(b"".join(ids_of), "<u4")
+        size_of = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        self.known.age()
+        first = np.cumsum(size_of) - size_of
+        n = size_of[index]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = table[np.repeat(first[index] - (ends - n), n) + np.arange(total)]
+        limits = np.cumsum([len(x) + 1 for x in found])
+        behind = np.searchsorted(starts, limits)  # pieces before the end of each text
+        return ids, np.diff(np.concatenate([[0], ends])[behind], prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -218,7 +316,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     Null text counts as empty and gives the end id alone. Rows that share an id are all kept, next to each other.
     """
-    ranged = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text")]  # so rows that share an id, or have none, are dealt to many tasks
+    ranged = texts(docs).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -226,12 +325,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         from pyspark import TaskContext
 
         own, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = struct.pack("<I", end_id)
         bits = max(own.bits, end_id.bit_length())
         doc_ids, lengths, chunks, size = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(chunks), "<u4")
+            ids = np.concatenate(chunks)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()),
@@ -241,11 +339,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             )
 
         for batch in batches:
-            for number, raw in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist())):
-                doc_ids.append(number)
-                chunks.append(raw + end)
-                lengths.append(len(raw) // 4 + 1)
-                size += lengths[-1]
+            numbers = batch.column("doc_id").to_pylist()
+            ids, sizes = own.ids(batch.column("text").to_pylist())
+            ended = np.full(len(ids) + len(sizes), end_id, "<u4")
+            ended[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+            ends = np.cumsum(sizes + 1)
+            begin, limits = 0, ends.tolist()
+            while begin < len(limits):
+                before = limits[begin - 1] if begin else 0
+                # up to the document that fills the shard
+                last = min(int(np.searchsorted(ends, before + SHARD_IDS - size)), begin + SHARD_DOCS - len(doc_ids) - 1, len(limits) - 1)
+                doc_ids += numbers[begin : last + 1]
+                lengths += (sizes[begin : last + 1] + 1).tolist()
+                chunks.append(ended[before : limits[last]])
+                size += limits[last] - before
+                begin = last + 1
                 if size >= SHARD_IDS or len(doc_ids) >= SHARD_DOCS:
                     yield close()
                     seq += 1

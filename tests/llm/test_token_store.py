@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -50,6 +51,45 @@ def test_words_encode_like_texts():
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def same_as_the_library(found):
+    tokenizer, encoder = Tokenizer.from_file(PATH), token_store.Encoder(PATH)
+    want = [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+    for text, raw, ids in zip(found, encoder.encode([x.encode() for x in found]), want):
+        assert np.frombuffer(raw, "<u4").tolist() == ids, text
+
+
+def test_letters_with_combining_marks():
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÄÖÜẞß"
+    same_as_the_library([a + chr(m) + b for a in letters for m in range(0x300, 0x370) for b in ("", "x")])
+
+
+@pytest.mark.parametrize("run", [1, 7, 64, 1 << 19])
+def test_random_texts(monkeypatch, run):
+    monkeypatch.setattr(token_store, "RUN_BYTES", run)
+    r = random.Random(run)
+    pools = [
+        "abcxyzABCXYZ", "0123456789", " \t\n\r\x0b\x0c", "'’.,!?-_\"", "streveml'STREVEMLd'", "".join(map(chr, range(0xA0, 0x180))),
+        "".join(map(chr, range(0x300, 0x370))), "\x00\x01\x1c\x1d\x1e\x1f\x7f\x85\u00a0\u2003\u3000", "日本語한글😀İıſ", "<|>",
+    ]
+    one = lambda: r.choice(["<|endoftext|>", "<|startoftext|>", "<|", "'s", "''s", "'re", "'r"]) if r.random() < 0.05 else r.choice(r.choice(pools))
+    same_as_the_library(["".join(one() for _ in range(r.randint(0, 60))) for _ in range(1500)])
+
+
+def test_a_very_long_text_and_a_very_long_word(spark):
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcdeéÄß.,'") for _ in range(r.randint(1, 9))) for _ in range(300_000))
+    same_as_the_library([long, "x" * 300_000, "\u00a0" * 100_000])
+
+
+def test_rows_without_words_and_shared_ids(spark):
+    path = scratch(spark, "tokens")
+    d = spark.createDataFrame([(None, "b a"), (None, None), (7, ""), (7, "x"), (8, " ")], "doc_id long, text string")
+    token_store.write_tokens(d, path, PATH)
+    got = sorted(map(tuple, token_store.read_tokens(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, 7, 7, 8] and sorted(r[2] for r in got[:2]) == [1, 3]
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(5)]
+
+
 def test_empty(spark, empty):
     path = scratch(spark, "tokens")
     token_store.write_tokens(empty, path, PATH)
