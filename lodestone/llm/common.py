@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from lodestone.plans.workers import importable
 
 #: Copies of the small side of a salted join; a key with a third of all rows is dealt to so many tasks.
 SALTS = 32
-#: Rows of one Arrow batch: whole texts are long, so batches are short.
-BATCH_ROWS = 1000
+#: Bounds of one Arrow batch: whole texts are long, so batches are short; a row beyond the bytes is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: A key with more rows than this is a hub, and what joins it is dealt to SALTS tasks.
+HUB = 100_000
 
 _own_root: str | None = None
 _made: list[str] = []
@@ -25,8 +28,8 @@ _made: list[str] = []
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path below the folder that driver and executors share.
 
-    The folder is spark.checkpoint.dir, or one given to setCheckpointDir. Only where neither is set (local
-    tests) a temporary folder is made and set as the session's checkpoint folder.
+    The folder is spark.checkpoint.dir, or one given to setCheckpointDir. Only where neither is set and the session is
+    a local one (tests) a temporary folder is made and set as the session's checkpoint folder; on a cluster it's an error.
     """
     global _own_root
     context = spark.sparkContext
@@ -35,6 +38,8 @@ def scratch(spark: SparkSession, what: str) -> str:
         held = context._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _own_root is None:
             _own_root = tempfile.mkdtemp(prefix="lodestone-")
             atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
@@ -44,18 +49,32 @@ def scratch(spark: SparkSession, what: str) -> str:
     return _made[-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch path made so far; plans that read them can't run any more."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def release(spark: SparkSession, made: list[str] | None = None) -> None:
+    """Delete the given scratch paths, or every one made so far; plans that read them can't run any more."""
+    for name in _made[:] if made is None else made:
+        _made.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def store(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends here and a lost executor loses nothing."""
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Like store, with the path that holds the rows, so that it can be released."""
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def store(df: DataFrame, what: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends here and a lost executor loses nothing."""
+    return written(df, what)[0]
+
+
+def alone(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> tuple[DataFrame, str]:
+    """make()'s rows, written; all other scratch paths that came up meanwhile are released."""
+    before = set(_made)
+    out, path = written(make(), what)
+    release(spark, [x for x in _made if x not in before and x != path])
+    return out, path
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
@@ -71,10 +90,30 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how
     )
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts holds; called before any Python step is planned."""
+def hub_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hubs: DataFrame | None) -> DataFrame:
+    """left inner joined to right on key, where only the keys in hubs (distinct, one column) are dealt to SALTS tasks.
+
+    right must be unique by key. hubs has at most one row for HUB rows of left; whether it is broadcast is left to
+    Spark's size check.
+    """
+    if hubs is None or hubs.isEmpty():
+        return left.join(right, key)
+    marked = hubs.select(key, F.lit(True).alias("__hub"))
+    salt = F.when(F.col("__hub"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("__hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    many = left.join(marked, key, "left").withColumn("__salt", salt).drop("__hub")
+    one = right.join(marked, key, "left").withColumn("__salt", F.explode(salts)).drop("__hub")
+    return many.join(one, [key, "__salt"]).drop("__salt")
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of whole texts holds, by rows and by bytes; called before any Python step is planned.
+
+    The bounds are the same for all steps, so it doesn't matter when a plan is run.
+    """
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, text: str = "text") -> DataFrame:

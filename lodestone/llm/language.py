@@ -16,7 +16,7 @@ from lodestone.llm.common import salted_join, short_batches, store, table
 from lodestone.llm.urls import host_of
 
 #: Rows of the fit sample for each declared language, characters of each, and languages fitted in one pass.
-FIT_ROWS, FIT_CHARS, FIT_BLOCK = 400, 20_000, 64
+FIT_ROWS, FIT_CHARS, FIT_BLOCK = 400, 20_000, 16
 #: Trigram hash buckets and additive smoothing.
 BUCKETS, SMOOTHING = 1 << 16, 0.2
 #: Trigrams are no independent witnesses: a text weighs as so many of them at most.
@@ -117,11 +117,11 @@ def evidence(rows: DataFrame, model, last: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(values, pa.list_(pa.float64()))], names=[*kept, "ll"])
 
     text = "n long, letters boolean" if last else "text string"
-    return rows.mapInArrow(run, f"id long, declared string, host string, suffix string, {text}, ll array<double>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, declared string, host string, suffix string, {text}, ll array<double>")
 
 
 def identify(rows: DataFrame, accepted=None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """rows(id long, text, declared, host, suffix) -> id, language, confidence, text_language, accepted; one row per row.
+    """rows(id, text, declared, host, suffix) -> id, language, confidence, text_language, accepted; one row per row.
 
     Null or letterless text has no language ("und") and isn't accepted; null declared, host or suffix are no evidence.
     A row is accepted if its language is among accepted (all languages of the model if None) with a posterior of ACCEPT
@@ -184,9 +184,9 @@ def identify(rows: DataFrame, accepted=None, fit_rows: int = FIT_ROWS) -> DataFr
     )
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
+def document_rows(docs: DataFrame, id_type: str = "long") -> DataFrame:
     """Documents as evidence: the lang column is what was declared, the source is the host; there is no address suffix."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
+    return docs.select(F.col("doc_id").cast(id_type).alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -211,6 +211,12 @@ def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted; those without letters or of no clear language go. Rows without an id stay."""
-    gone = identify(document_rows(docs)).where("not accepted").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents whose language is accepted; those without letters or of no clear language go.
+
+    Rows that share an id, or have none, are judged each by its own text and evidence.
+    """
+    evidence_of = [F.col(c) for c in ("text", "lang", "source")]
+    key = F.xxhash64(*(x for c in evidence_of for x in (c.isNull(), c)))
+    rows = document_rows(docs.withColumn("doc_id", F.struct(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"))), "struct<doc_id: bigint, key: bigint>")
+    gone = identify(rows).where("not accepted").select(F.col("id.doc_id").alias("__id"), F.col("id.key").alias("__key")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (key == gone["__key"]), "left_anti").select(docs.columns)

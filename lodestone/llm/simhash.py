@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain, islice, repeat
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import salted_join, store, table, texts
@@ -52,7 +52,7 @@ def _fingerprints(batches) -> Iterator:
 
     for batch in batches:
         fps = [fingerprint(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
 
 def spanning(fps, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -130,6 +130,23 @@ def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     return found.unionByName(dense.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _groups(docs: DataFrame, hot_bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, fp) of every row; (fp, rep, head, n) of every fingerprint; (fp, root) of those with links.
+
+    rep is the smallest doc_id of a fingerprint; head names its first row: by doc_id, null last, then by key.
+    """
+    rows = texts(docs).withColumn("key", text_key(F.col("text")))
+    found = store(rows.mapInArrow(_fingerprints, "doc_id long, key long, fp long"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    nodes = store(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), first.alias("head"), F.count(F.lit(1)).alias("n")), "nodes")
+    return found, nodes, components(links(nodes.select("fp"), hot_bucket)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """docs(doc_id, text, ...) -> one row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -138,9 +155,7 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     links of at most 3 bits (null ids are passed over; a group of null ids only has component null). Repeated rows come
     out repeated. Other columns are ignored. An empty table gives no rows.
     """
-    found = store(texts(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = store(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
-    stars = components(links(nodes.select("fp"), hot_bucket)).withColumnRenamed("node", "fp")
+    found, nodes, stars = _groups(docs, hot_bucket)
     least = stars.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("component"))
     linked = stars.join(least, "root").select("fp", "component")
     shared = (
@@ -159,7 +174,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def first_of_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """docs without all but one row of each group of near duplicates; all columns as they are.
+
+    The row with the smallest doc_id stays (null ids come last; of different texts under that id the one with the
+    smallest hash). Rows that share an id are told apart by their texts; of rows that share both, one stays.
+    """
+    found, nodes, stars = _groups(docs, hot_bucket)
+    least = stars.join(nodes, "fp").groupBy("root").agg(F.min("head").alias("first"))
+    linked = stars.join(least, "root").select("fp", "first")
+    shared = nodes.join(linked, "fp", "left").where("n > 1 or first is not null").select("fp", F.coalesce("first", "head").alias("first"))
+    judged = store(salted_join(found, shared, "fp", F.struct("doc_id", "key"), "inner"), "judged")
+    stays = judged["doc_id"].eqNullSafe(F.col("first.doc_id")) & (judged["key"] == F.col("first.key"))
+    gone = judged.where(~stays).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    again = store(judged.where(stays).groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "again")
+
+    def same(other: DataFrame) -> Column:
+        return docs["doc_id"].cast("long").eqNullSafe(other["__id"]) & (text_key(docs["text"]) == other["__key"])
+
+    left = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same(again), "left_anti").unionByName(once).select(docs.columns)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of every near-duplicate group the document with the smallest doc_id; rows without an id stay."""
-    gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep one document of every near-duplicate group: first_of_groups."""
+    return first_of_groups(docs)

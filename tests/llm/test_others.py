@@ -112,6 +112,17 @@ def test_pagerank_against_plain_loops(spark):
     assert got.keys() == score.keys() and all(abs(got[k] - score[k]) < 1e-12 for k in got)
 
 
+def test_pagerank_with_hubs_and_without_seeds(spark, monkeypatch):
+    from lodestone.llm import common
+
+    edges = spark.createDataFrame([("hub", f"h{i}") for i in range(50)] + [("h1", "hub"), ("h2", "hub"), ("h2", "hub"), (None, "hub")], "src string, dst string")
+    seeds = spark.createDataFrame([("hub",), ("alone",)], "host string")
+    plain = {x["host"]: round(x["score"], 12) for x in urls.pagerank(edges, seeds).collect()}
+    monkeypatch.setattr(common, "HUB", 10)
+    assert {x["host"]: round(x["score"], 12) for x in urls.pagerank(edges, seeds).collect()} == plain and len(plain) == 52
+    assert abs(plain["alone"] - 0.15) < 1e-12 and urls.pagerank(edges, seeds.limit(0)).collect() == []
+
+
 def test_distrust_reaches_those_that_link_to_bad_hosts(spark):
     link = '<a href="http://m.casino-win.example.com/x">x</a>'
     d = spark.createDataFrame([(1, "http://friend.test/", link), (2, "http://other.test/", '<a href="/own">y</a>'), (2, "http://other.test/", "")], "page_id long, url string, html string")
@@ -156,6 +167,13 @@ def test_language_edge_cases(spark, docs, awkward, empty):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {i for i, _ in awkward} - {4, 5, 6}
 
 
+def test_language_stage_tells_rows_that_share_an_id_apart(spark):
+    rows = [(1, "real words that are kept", "en"), (1, "1234 5678", "en"), (1, "real words that are kept", "en"), (None, "real words again", "en"), (None, "!!!", "en"), (2, "0", None)]
+    d = spark.createDataFrame([(*r, "src", "x") for r in rows], "doc_id long, text string, lang string, source string, key string")
+    got = sorted((tuple(r)[:2] for r in language.stage(spark, d, "").collect()), key=repr)
+    assert got == sorted([rows[0][:2], rows[2][:2], rows[3][:2]], key=repr)
+
+
 def test_every_declared_language_is_fitted(spark):
     import string
 

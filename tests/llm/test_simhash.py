@@ -105,3 +105,25 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 def test_stage_keeps_one_of_each_group(spark, docs):
     kept = [r["doc_id"] for r in simhash.stage(spark, docs, "").collect()]
     assert 1 in kept and 2 not in kept and None in kept and simhash.stage(spark, docs, "").columns == docs.columns
+
+
+def test_hubs_are_dealt_to_many_tasks(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HUB", 20)
+    edges = [(i, i + 1) for i in range(40)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 1100 + i) for i in range(150)] + [(900, 5000)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 900 for i in [900, *range(1000, 1250), 5000] if i <= 1200 or 1100 <= i < 1250 or i == 5000}
+
+
+def test_stage_tells_rows_that_share_an_id_apart(spark):
+    near = "one two three four five six seven eight nine ten"
+    rows = [
+        (1, near), (2, near), (2, "quite another text that stays as it is here"), (3, "the same row twice of words"), (3, "the same row twice of words"),
+        (None, near), (None, "no id and no partner whatever happens"), (None, "twice without an id though"), (None, "twice without an id though"), (4, None), (5, ""),
+    ]
+    d = spark.createDataFrame([(*r, "k", -1) for r in rows], "doc_id long, text string, key string, fp long")
+    got = sorted((tuple(r)[:2] for r in simhash.stage(spark, d, "").collect()), key=repr)
+    want = [(1, near), (2, rows[2][1]), (3, rows[3][1]), (None, rows[6][1]), (None, rows[7][1]), (4, None)]
+    assert got == sorted(want, key=repr)
+    assert simhash.stage(spark, d.limit(0), "").collect() == []
