@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, exact_dedup, language, pieces, simhash
-from lodestone.llm.common import store
+from lodestone.llm.common import alone, release
 
 STAGES = [
     ("language", language.stage),
@@ -23,8 +23,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each stage's rows are written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents; each stage's rows are written as Parquet and read again by the next.
+
+    What a stage wrote besides its rows is deleted once these are written, and its rows after the next stage's are.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name)
+        docs, path = alone(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        release(spark, before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
