@@ -40,23 +40,29 @@ def segments(scores: list[tuple[int, float, float]]) -> list[tuple[int, int, flo
 
     scores has (position, what all words before it since the last entry add up to (at most 0), its own score above 0).
     Returns (first position, last position, score) of each segment, by the stack of candidates with their left and right
-    cumulative sums.
+    cumulative sums. Every candidate names the nearest one below it with a smaller left sum, so that a search leaps over
+    those that can't be one; where there is none, all candidates are final.
     """
-    total, stack = 0.0, []  # of [left sum, right sum, first, last]
+    total, done, stack = 0.0, [], []  # of (left sum, right sum, first, last, place in the stack of the one with a smaller left sum)
     for at, before, own in scores:
         total += before
-        new = [total, total + own, at, at]
-        total += own
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or stack[j][1] >= new[1]:
+        left, right, first = total, total + own, at
+        total = right
+        j = len(stack) - 1
+        while True:
+            while j >= 0 and stack[j][0] >= left:
+                j = stack[j][4]
+            if j < 0:
+                done += stack
+                stack.clear()
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            if stack[j][1] >= right:
+                break
+            left, _, first, _, below = stack[j]
             del stack[j:]
-        stack.append(new)
-    return [(first, last, right - left) for left, right, first, last in stack]
+            j = below
+        stack.append((left, right, first, at, j))
+    return [(first, last, right - left) for left, right, first, last, _ in done + stack]
 
 
 class Scores(dict):
@@ -173,7 +179,7 @@ class Model:
 
     @staticmethod
     def _sum(words: list[bytes], found: list[tuple[int, int, float]]) -> float:
-        return min(50.0, sum({tuple(words[a : b + 1]): x for a, b, x in found}.values()))
+        return sum({tuple(words[a : b + 1]): x for a, b, x in found}.values())
 
     def _calibrate(self, x, y) -> None:
         """Logistic curve over log(1 + nats) by a few damped Newton steps."""
@@ -191,7 +197,7 @@ class Model:
         words = tokens(text)
         found = self.passages(words)
         nats = self._sum(words, found)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * math.log1p(nats) + self.b)))), len(found)
+        return 1 / (1 + math.exp(min(700.0, -self.a * math.log1p(nats) - self.b))), len(found)
 
 
 def held_out(doc_id) -> F.Column:

@@ -248,6 +248,58 @@ def test_segments_are_maximal():
         assert got == [(a, b, round(s, 6)) for a, b, s in plain(values)]
 
 
+@pytest.mark.parametrize("kind", ["even", "rising", "falling", "random"])
+def test_segments_take_linear_time(kind):
+    import time
+
+    r = random.Random(1)
+    before = {"even": lambda i: -1.0, "rising": lambda i: -0.5, "falling": lambda i: -2.0, "random": lambda i: -2 * r.random()}[kind]
+    runs = [(2 * i, before(i), 1.0 + 1e-9 * i) for i in range(200_000)]
+    began = time.perf_counter()
+    assert toxicity.segments(runs)
+    assert time.perf_counter() - began < 2
+
+
+def test_whole_small_corpus_scores_like_plain_code():
+    """The scores of a corpus from the definition: odds by nested priors, best segments by recursion, chance, curve."""
+    import math
+
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 9))) for _ in range(120)]
+    nasty = ["toxic", "toxical", "toxicity", "vilest", "vilely"]
+    clean = [" ".join(r.choice(vocabulary) for _ in range(r.randint(5, 60))) for _ in range(60)]
+    toxic = [" ".join([*(r.choice(vocabulary) for _ in range(20)), *(r.choice(nasty) for _ in range(4)), *(r.choice(vocabulary) for _ in range(20))]) for _ in range(60)]
+    m = toxicity.Model(toxic, clean)
+
+    def plain_share(word):
+        x = 0.5
+        for p in (*toxicity.PREFIXES, len(word)):
+            if p < len(word):
+                x = m.share.get(word[:p], x)
+        return m.share.get(word, x)
+
+    def best(values, at=0):
+        top = max(((sum(values[i:j]), i - j, i, j) for i in range(len(values)) for j in range(i + 1, len(values) + 1)), default=(0,))
+        if top[0] <= 0:
+            return []
+        s, _, i, j = top
+        return [*best(values[:i], at), (at + i, at + j, s), *best(values[j:], at + j)]
+
+    for text in [*toxic[:12], *clean[:12], "", "toxic toxic toxic", "toxicity vilest toxic"]:
+        words = text.lower().encode().split()
+        values = [min(toxicity.CEILING, max(toxicity.FLOOR, math.log(plain_share(w) / (1 - plain_share(w))) - toxicity.OFFSET)) for w in words]
+        values = [0.0 if i and words[i] == words[i - 1] and v > 0 else v for i, v in enumerate(values)]
+        beyond = {tuple(words[a:b]): m.decay * s - math.log(1 + m.volume * len(words)) for a, b, s in best(values)}
+        nats = sum(x for x in beyond.values() if x > 0)
+        assert abs(m.score(text)[0] - 1 / (1 + math.exp(-m.a * math.log1p(nats) - m.b))) < 1e-9, text
+    assert min(m.score(x)[0] for x in toxic) > max(m.score(x)[0] for x in clean)
+
+
+def test_a_very_long_text_is_scored():
+    m = toxicity.Model(["toxic words here"] * 9, ["plain words there"] * 9)
+    assert 0 <= m.score("plain words toxic there " * 100_000)[0] <= 1
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score_documents(docs, labels).where("held_out").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").toPandas()
