@@ -1,11 +1,12 @@
 """Benchmark decontamination by winnowing.
 
 Of every W neighbouring k-grams the smallest hash is a fingerprint, W + k - 1 being the shortest span that counts, so
-each shared span of that length has the fingerprint of its own window in common. Texts whose window minima are among the
-benchmark's fingerprints are extended word by word against the benchmark's windows, so a hit is exact.
+each shared span of that length has the fingerprint of its own window in common. Windows of documents whose fingerprint
+is among the benchmark's are extended word by word against the benchmark's windows, so a hit is exact.
 
-Benchmark items are taken in blocks of bounded size, and every block passes over all documents in one chain of Arrow
-stages without a shuffle: only a block is ever broadcast, however large the benchmark grows.
+A benchmark of at most BLOCK_BYTES is broadcast, and documents meet its fingerprints in one Arrow stage without a
+shuffle. A larger one stays distributed: its fingerprints and windows are a table, a bit map of fixed size of the
+fingerprints holds back most windows of the documents, and the rest are joined to the table by their hash.
 """
 
 from __future__ import annotations
@@ -13,18 +14,21 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keep_rows, short_batches, table, texts
+from lodestone.llm import common
+from lodestone.llm.common import hub_join, keep_rows, short_batches, store, table, texts
 from lodestone.llm.words import NORMAL, words
 
 #: Words of a window, the span that winnowing must not miss.
 WINDOW = 10
 #: Words of a k-gram of the full window.
 GRAM = 5
-#: Bytes of benchmark text in one block; a block's tables take some 50 times that in a Python worker.
+#: Bytes of benchmark text that are broadcast at most; their tables take some 50 times that in a Python worker.
 BLOCK_BYTES = 1 << 21
+#: Bits of the map of a larger benchmark's fingerprints, 16 MB whatever the benchmark, and of each of its pieces.
+SIEVE_BITS, PIECE_BITS = 1 << 27, 1 << 15
 #: Texts are hashed in runs of about so many bytes.
 RUN_BYTES = 1 << 19
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -88,7 +92,7 @@ class Hasher:
 
 
 class Block:
-    """Windows, fingerprints and items of some benchmark texts."""
+    """Windows, fingerprints and items of a benchmark of bounded size."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         import numpy as np
@@ -179,18 +183,17 @@ def covered(spans) -> int:
     return n
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark's items in blocks of about block_bytes; the driver holds one block at a time."""
-    items = texts(benchmark.select(F.col("item_id").alias("doc_id"), "text")).where("doc_id is not null")
+def bench_items(benchmark: DataFrame) -> DataFrame:
+    return texts(benchmark.select(F.col("item_id").alias("doc_id"), "text")).where("doc_id is not null")
+
+
+def bounded(items: DataFrame, block_bytes: int) -> list[tuple[int, bytes]] | None:
+    """The benchmark's items if their texts take at most block_bytes (64 more for each), else None."""
     total = items.agg(F.sum(F.length("text") + 64).alias("n")).first()["n"] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == k) if n > 1 else items
-        if got := [(r["doc_id"], bytes(r["text"])) for r in part.collect()]:
-            yield got
+    return None if total > block_bytes else [(r["doc_id"], bytes(r["text"])) for r in items.collect()]
 
 
-_SCHEMA = "doc_id long, text binary, n_words long, spans array<struct<start: long, size: long>>, items array<long>"
+_OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -201,57 +204,159 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     repeated item counts once. items_sha256 is of the item ids as strings, sorted and comma-joined (of nothing, if none
     occurs). Repeated documents come out repeated, null ids stay null. An empty benchmark contaminates nothing.
     """
-    spark = docs.sparkSession
-    rows = texts(docs).select(
-        "doc_id", "text", F.lit(None).cast("long").alias("n_words"),
-        F.lit(None).cast("array<struct<start: long, size: long>>").alias("spans"),
-        F.lit(None).cast("array<long>").alias("items"),
-    )
-    for items in list(blocks(benchmark, block_bytes)) or [[]]:
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(items)), _SCHEMA)
-    return rows.mapInArrow(_close, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    items = bench_items(benchmark)
+    held = bounded(items, block_bytes)
+    return _joined(docs, items) if held is None else texts(docs).mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(held)), _OUT)
 
 
-def _pass(held):
+def _judge(held):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         block, hasher = Block(held.value), Hasher()
         for batch in batches:
-            found = batch.column("text").to_pylist()
-            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            n, all_spans, all_items = [], [], []
-            for i, (count, new, ids) in enumerate(scan(found, block, hasher)):
-                n.append(count)
-                all_spans.append((spans[i] or []) + [{"start": a, "size": b} for a, b in new])
-                all_items.append((items[i] or []) + list(ids))
+            rows = scan(batch.column("text").to_pylist(), block, hasher)
+            hit = [covered(spans) for _, spans, _ in rows]
+            ids = [sorted(map(str, x)) for _, _, x in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()),
-                    pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))),
-                    pa.array(all_items, pa.list_(pa.int64())),
+                    batch.column("doc_id"), pa.array([n for n, _, _ in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, ids), pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()),
+                    pa.array([x > 0 for x in hit], pa.bool_()),
                 ],
-                names=["doc_id", "text", "n_words", "spans", "items"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
     return run
 
 
-def _close(batches) -> Iterator:
+def _windows(batches) -> Iterator:
+    """(item, span, print, window) of every window of the items."""
     import pyarrow as pa
 
+    hasher = Hasher()
     for batch in batches:
-        spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-        hit = [covered((x["start"], x["size"]) for x in row) for row in spans]
-        ids = [sorted({str(i) for i in row}) for row in items]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(map(len, ids), pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()),
-                pa.array([x > 0 for x in hit], pa.bool_()),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+        for item, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            own = words(text)
+            if not own:
+                continue
+            span = min(WINDOW, len(own))
+            _, _, hashes = hasher.words(b" ".join(own))
+            low = hasher.minima(hashes, *scheme(span))
+            for at in range(0, len(low), RUN_BYTES):
+                part = low[at : at + RUN_BYTES]
+                n = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([item] * n, pa.int64()), pa.array([span] * n, pa.int32()), pa.array(part.view("<i8"), pa.int64()),
+                        pa.array([b" ".join(own[i : i + span]) for i in range(at, at + n)], pa.binary()),
+                    ],
+                    names=["item", "span", "print", "window"],
+                )
+
+
+def _place(print_: Column) -> Column:
+    return F.shiftrightunsigned(print_, 64 - (SIEVE_BITS - 1).bit_length())
+
+
+def _sieve(windows: DataFrame) -> bytes:
+    """A map of the fingerprints' upper bits; its pieces are made where the fingerprints are and have a fixed size."""
+
+    def piece(pdf):
+        import numpy as np
+        import pandas as pd
+
+        bits = np.zeros(PIECE_BITS, np.uint8)
+        bits[pdf["bit"].to_numpy()] = 1
+        return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    places = windows.select(_place(F.col("print")).alias("p")).distinct()
+    split = places.select(F.expr(f"cast(p div {PIECE_BITS} as int)").alias("piece"), (F.col("p") % PIECE_BITS).cast("int").alias("bit"))
+    out = bytearray(SIEVE_BITS // 8)
+    for row in split.groupBy("piece").applyInPandas(piece, "piece int, bits binary").toLocalIterator():
+        out[row["piece"] * PIECE_BITS // 8 : (row["piece"] + 1) * PIECE_BITS // 8] = row["bits"]
+    return bytes(out)
+
+
+def _candidates(held, spans: list[int]):
+    """Of every document a row without a window, with its number of words, and its windows that the sieve lets through."""
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        hasher, sieve = Hasher(), np.frombuffer(held.value, np.uint8)
+        shift = np.uint64(64 - (SIEVE_BITS - 1).bit_length())
+        names = ["doc_id", "key", "n_words", "start", "span", "print", "window"]
+
+        def rows(id_, key, n, starts, span, prints, found):
+            k = len(found)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([id_] * k, pa.int64()), pa.array([key] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(starts, pa.int64()),
+                    pa.array([span] * k, pa.int32()), pa.array(prints, pa.int64()), pa.array(found, pa.binary()),
+                ],
+                names=names,
+            )
+
+        for batch in batches:
+            for id_, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
+                normal = text.translate(NORMAL)
+                starts, ends, hashes = hasher.words(normal)
+                yield rows(id_, key, len(starts), [None], None, [None], [None])
+                for span in spans:
+                    low = hasher.minima(hashes, *scheme(span))
+                    p = low >> shift
+                    at = np.flatnonzero(sieve[(p >> np.uint64(3)).view(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1)
+                    for i in range(0, len(at), RUN_BYTES):
+                        part = at[i : i + RUN_BYTES]
+                        found = [b" ".join(normal[starts[j] : ends[j + span - 1]].split()) for j in part.tolist()]
+                        yield rows(id_, key, len(starts), part, span, low[part].view("<i8"), found)
+
+    return run
+
+
+def _hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates with one row per document, (doc_id, key, start, span, at) of every occurrence of a window, (at, window, item)).
+
+    key tells documents that share an id apart, at is the hash of a window.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    at = F.xxhash64("span", "print", "window").alias("at")
+    windows = store(items.mapInArrow(_windows, "item long, span int, print long, window binary"), "windows")
+    owners = windows.select(at, "window", "item").distinct()
+    spans = sorted(r["span"] for r in windows.select("span").distinct().collect())  # WINDOW of them at most
+    held = spark.sparkContext.broadcast(_sieve(windows))
+    rows = texts(docs).withColumn("key", F.xxhash64("text"))
+    found = store(rows.mapInArrow(_candidates(held, spans), "doc_id long, key long, n_words long, start long, span int, print long, window binary"), "candidates")
+    seek = found.where("start is not null").select("doc_id", "key", "start", "span", "window", at)
+    hubs = store(seek.groupBy("at").count().where(F.col("count") > common.HUB).select("at"), "hubs")
+    table_ = windows.select(at, F.col("window").alias("own")).distinct()
+    hits = hub_join(seek, table_, "at", F.col("doc_id"), hubs).where("window = own")
+    return found, store(hits.select("doc_id", "key", "start", "span", "at", "window").distinct(), "hits"), owners
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """decontaminate with a benchmark of any size: no part of it is ever on the driver."""
+    found, hits, owners = _hits(docs, items)
+    mine = ["doc_id", "key"]
+    order = Window.partitionBy(*mine).orderBy("start", "span").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.greatest(F.col("start"), F.coalesce(F.max(F.col("start") + F.col("span")).over(order), F.lit(0)))
+    hit = hits.select(*mine, F.greatest(F.lit(0), F.col("start") + F.col("span") - ahead).alias("new")).groupBy(*mine).agg(F.sum("new").alias("n_hit"))
+    ids = (
+        hits.select(*mine, "at", "window").distinct().join(owners.withColumnRenamed("window", "own"), "at").where("window = own")
+        .select(*mine, F.col("item").cast("string").alias("item")).distinct()
+        .groupBy(*mine).agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    )
+    known = hit.join(ids, [hit["doc_id"].eqNullSafe(ids["doc_id"]), hit["key"] == ids["key"]]).select(
+        hit["doc_id"].alias("__id"), hit["key"].alias("__key"), "n_hit", "n_items", "items_sha256"
+    )
+    rows = found.where("start is null").select("doc_id", "key", "n_words")
+    return rows.join(known, [rows["doc_id"].eqNullSafe(known["__id"]), rows["key"] == known["__key"]], "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,18 +387,24 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark; all columns as they are, no shuffle."""
-    short_batches(spark)
-    out = docs
-    for items in blocks(table(spark, sf_dir, "benchmark")):
-        held = spark.sparkContext.broadcast(items)
-        state: dict = {}
-
-        def judge(found: list[bytes], held=held, state=state) -> list[bool]:
-            if not state:
-                state.update(block=Block(held.value), hasher=Hasher())
-            return [not spans for _, spans, _ in scan(found, **state)]
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents that share no window with the benchmark; all columns as they are.
 
-        out = keep_rows(out, judge)
-    return out
+    Rows that share an id are judged each by its own text.
+    """
+    short_batches(spark)
+    items = bench_items(table(spark, sf_dir, "benchmark"))
+    found = bounded(items, block_bytes)
+    if found is None:
+        gone = _hits(docs, items)[1].select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+        key = F.xxhash64(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+        return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (key == gone["__key"]), "left_anti").select(docs.columns)
+    held = spark.sparkContext.broadcast(found)
+    state: dict = {}
+
+    def judge(texts_: list[bytes]) -> list[bool]:
+        if not state:
+            state.update(block=Block(held.value), hasher=Hasher())
+        return [not spans for _, spans, _ in scan(texts_, **state)]
+
+    return keep_rows(docs, judge)
