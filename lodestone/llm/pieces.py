@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import short_batches, store, table
 
 MODEL = "piece_bpe_32k.model"
-CHUNK_CHARS = 16_384
+#: Characters of a chunk, and chunks whose matrices are multiplied in one task.
+CHUNK_CHARS, BLOCK_CHUNKS = 16_384, 64
 MARK = "▁"
 NO = float("-inf")
 
@@ -135,11 +136,41 @@ def prefixes(ms: list) -> list:
     return out
 
 
-def choose(ms: list) -> list[int]:
-    """The state at each inner boundary on the path that isn't -inf, from the chunks' matrices in order."""
+def choose(ms: list, a: int = 0, b: int = 0) -> list[int]:
+    """The state at each inner boundary on the path from state a to state b that isn't -inf, from the matrices in order."""
     ahead = prefixes(ms)
     behind = [m.T for m in prefixes([m.T for m in reversed(ms)])][::-1]
-    return [int((ahead[i][0] + behind[i + 1][:, 0]).argmax()) for i in range(len(ms) - 1)]
+    return [int((ahead[i][a] + behind[i + 1][:, b]).argmax()) for i in range(len(ms) - 1)]
+
+
+def dense(rows: int, cols: int, pairs):
+    import numpy as np
+
+    out = np.full(rows * cols, NO)
+    out[np.asarray(pairs, np.int64)] = 0
+    return out.reshape(rows, cols)
+
+
+def _multiply(pdf):
+    """The product of a block's matrices, as one matrix of the same kind."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values("no")
+    out = None
+    for m in map(dense, pdf["rows"], pdf["cols"], pdf["pairs"]):
+        out = m if out is None else product(out, m)
+    return pd.DataFrame({"key": pdf["key"].iloc[:1], "no": pdf["block"].iloc[:1], "rows": [out.shape[0]], "cols": [out.shape[1]], "pairs": [np.flatnonzero(out.reshape(-1) == 0)]})
+
+
+def _choose_all(pdf):
+    """The states at both ends of each matrix of a document or block, entered by state a0 and left by state b0."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("no")
+    a0, b0 = int(pdf["a0"].iloc[0]), int(pdf["b0"].iloc[0])
+    at = [a0, *choose(list(map(dense, pdf["rows"], pdf["cols"], pdf["pairs"])), a0, b0), b0]
+    return pd.DataFrame({"key": pdf["key"].to_numpy(), "no": pdf["no"].to_numpy(), "a": at[:-1], "b": at[1:]})
 
 
 class Chunk:
@@ -201,7 +232,7 @@ def encode_text(text: str, model: Model, size: int = CHUNK_CHARS) -> list[int]:
     return [i for k, c in enumerate(chunks) for i in c.trace(at[k], at[k + 1])]
 
 
-def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
     """One row per document: doc_id, n_chunks, ids (array of int).
 
     Null text counts as empty and has no ids. Repeated rows come out repeated, other columns are ignored.
@@ -257,23 +288,16 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) ->
                 out.append({"key": r["key"], "no": r["no"], "rows": n, "cols": m, "pairs": [a * m + b for a, b in pairs]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.int64()), ("no", pa.int32()), ("rows", pa.int32()), ("cols", pa.int32()), ("pairs", pa.list_(pa.int32()))]))
 
-    def combine(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("no")
-        ms = []
-        for n, m, pairs in zip(pdf["rows"], pdf["cols"], pdf["pairs"]):
-            ms.append(np.full(n * m, NO))
-            ms[-1][np.asarray(pairs, np.int64)] = 0
-            ms[-1] = ms[-1].reshape(n, m)
-        at = [0, *choose(ms), 0]
-        return pd.DataFrame({"key": pdf["key"].to_numpy(), "no": pdf["no"].to_numpy(), "a": at[:-1], "b": at[1:]})
-
-    # Only documents that some chunk of can't be cut at a word mark have anything to combine.
+    # Only documents that some chunk of can't be cut at a word mark have anything to combine. Blocks of chunks are
+    # multiplied where they are, a document's blocks are scanned, and each block then finds its inner states.
+    kind, states = "key long, no int, rows int, cols int, pairs array<int>", "key long, no int, a int, b int"
     bound = chunks.where("not free or not ends_free").select("key").distinct()
-    matrices = chunks.join(bound, "key", "left_semi").repartition("key", "no").mapInArrow(weigh, "key long, no int, rows int, cols int, pairs array<int>")
-    chosen = matrices.groupBy("key").applyInPandas(combine, "key long, no int, a int, b int")
+    matrices = chunks.join(bound, "key", "left_semi").repartition("key", "no").mapInArrow(weigh, kind)
+    matrices = store(matrices.withColumn("block", F.expr(f"no div {block_chunks}").cast("int")), "matrices")
+    blocks = matrices.groupBy("key", "block").applyInPandas(_multiply, kind)
+    ends = blocks.withColumns({"a0": F.lit(0), "b0": F.lit(0)}).groupBy("key").applyInPandas(_choose_all, states)
+    inner = matrices.join(ends.select("key", F.col("no").alias("block"), F.col("a").alias("a0"), F.col("b").alias("b0")), ["key", "block"])
+    chosen = inner.groupBy("key", "block").applyInPandas(_choose_all, states)
 
     def trace(batches) -> Iterator:
         import pyarrow as pa

@@ -56,5 +56,20 @@ def test_spark_encoding_and_decoding(spark, docs, awkward, model):
                 assert r["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_blocks_of_chunks_without_white_space(spark, model, block):
+    r = random.Random(block)
+    texts = ["".join(r.choice(["inter", "nation", "al", "ization", "re", "present", "q", "ü"]) for _ in range(n)) for n in (3, 40, 150)]
+    texts += ["theinternational" * 30 + " of " + "representations" * 20, "日本語" * 120, "word " * 90 + "x" * 200]
+    d = spark.createDataFrame([(i % 4, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, no int")
+    got = [(x["doc_id"], list(x["ids"])) for x in pieces.encode(d, PATH, 40, block).collect()]
+    assert sorted(got) == sorted((i % 4, model.sp.encode(t)) for i, t in enumerate(texts))
+
+
+def test_stage_keeps_every_row_and_its_ids(spark, docs, awkward, model):
+    got = sorted(((r["doc_id"], r["n_pieces"]) for r in pieces.stage(spark, docs, "").collect()), key=repr)
+    assert got == sorted(((i, len(model.sp.encode(t or ""))) for i, t in awkward), key=repr)
+
+
 def test_empty(empty):
     assert pieces.decode(pieces.encode(empty, PATH), PATH).collect() == []
