@@ -292,7 +292,8 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS, blo
     # multiplied where they are, a document's blocks are scanned, and each block then finds its inner states.
     kind, states = "key long, no int, rows int, cols int, pairs array<int>", "key long, no int, a int, b int"
     bound = chunks.where("not free or not ends_free").select("key").distinct()
-    matrices = chunks.join(bound, "key", "left_semi").repartition("key", "no").mapInArrow(weigh, kind)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes take long here
+    matrices = chunks.join(bound, "key", "left_semi").repartition(tasks, "key", "no").mapInArrow(weigh, kind)
     matrices = store(matrices.withColumn("block", F.expr(f"no div {block_chunks}").cast("int")), "matrices")
     blocks = matrices.groupBy("key", "block").applyInPandas(_multiply, kind)
     ends = blocks.withColumns({"a0": F.lit(0), "b0": F.lit(0)}).groupBy("key").applyInPandas(_choose_all, states)
