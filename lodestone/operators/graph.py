@@ -10,51 +10,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.plans.scratch import cut
+from lodestone.plans.scratch import Table, cut, release, table
 
 #: Hops that a variable-length path goes at most.
 MAX_HOPS = 10
-#: A level or a set of visited nodes of up to so many rows is broadcast, so the edges stay where they are; a larger one
-#: is joined by shuffle.
-SMALL_ROWS = 200_000
+#: A written level of up to so many bytes is broadcast, so the edges stay where they are; a larger one is joined by
+#: shuffle. Of a graph whose edges take no more, STRIDE levels are walked in one job.
+SMALL_BYTES, STRIDE = 8 << 20, 5
 
 
-def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
+def _side(t: Table, df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if t.size <= SMALL_BYTES else df
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(node, hop): every node that an edge path from any start reaches, with the fewest hops, 1 to max_hops.
 
     A start is reached only if it lies on a cycle, so it isn't marked as visited beforehand. starts has one column node.
+    The levels are walked when this is called, one job for each, or for STRIDE of them where all edges are few; nulls
+    are no nodes.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    frontier = cut(starts.select("node").distinct())
-    rows, visited, seen = frontier.count(), None, 0
-    for hop in range(1, max_hops + 1):
-        reached = edges.join(_side(frontier.withColumnRenamed("node", "src"), rows), "src").select(F.col("dst").alias("node")).distinct()
-        if visited is not None:
-            reached = reached.join(_side(visited.select("node"), seen), "node", "left_anti")
-        frontier = cut(reached)
-        rows = frontier.count()
-        if not rows:
+    spark = edges.sparkSession
+    links = table(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    stride = STRIDE if links.size <= SMALL_BYTES else 1
+    frontier, held, levels, hop = starts.select("node").distinct(), None, [], 0
+    while hop < max_hops:
+        walked, at = [], frontier
+        for k in range(1, min(stride, max_hops - hop) + 1):
+            side = at.withColumnRenamed("node", "src")
+            side = _side(held, side) if held is not None and k == 1 else side
+            at = links.df.join(side, "src").select(F.col("dst").alias("node")).distinct()
+            walked.append(at.withColumn("hop", F.lit(hop + k)))
+        found = walked[0]
+        for more in walked[1:]:
+            found = found.unionByName(more)
+        if len(walked) > 1:
+            found = found.groupBy("node").agg(F.min("hop").alias("hop"))
+        for level in levels:
+            found = found.join(_side(level, level.df.select("node")), "node", "left_anti")
+        held = table(found)
+        hop += len(walked)
+        if not held.rows:
             break
-        level = frontier.withColumn("hop", F.lit(hop))
-        visited = level if visited is None else visited.unionByName(level)
-        seen += rows
-    return visited if visited is not None else starts.sparkSession.createDataFrame([], "node string, hop int")
+        levels.append(held)
+        frontier = held.df.where(F.col("hop") == hop).select("node")
+    release(spark, links)
+    if not levels:
+        return spark.createDataFrame([], "node string, hop int")
+    out = levels[0].df
+    for level in levels[1:]:
+        out = out.unionByName(level.df)
+    return out
 
 
 def ancestors(extends: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(node, ancestor, depth) for all nodes at once; extends is a forest, so paths don't multiply."""
-    step = extends.select(F.col("src").alias("ancestor"), F.col("dst").alias("above"))
-    level = extends.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth"))
-    out = level = cut(level)
-    for depth in range(2, max_hops + 1):
-        level = cut(level.join(step, "ancestor").select("node", F.col("above").alias("ancestor"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
+    """(node, ancestor, depth) for all nodes at once; extends is a forest, so paths don't multiply.
+
+    Paths of up to k steps go on from those of exactly k steps, so reach doubles with every job; all are run when this is
+    called.
+    """
+    out = cut(extends.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth")))
+    reach = 1
+    while reach < max_hops:
+        above = out.where(F.col("depth") <= max_hops - reach).select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
+        longer = out.where(F.col("depth") == reach).join(above, "ancestor").select("node", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        found = table(longer)
+        if not found.rows:
             break
-        out = out.unionByName(level)
+        out = out.unionByName(found.df)
+        reach = min(2 * reach, max_hops)
     return out
 
 
@@ -204,23 +228,28 @@ def resolve_parents(sources: DataFrame, classes: DataFrame) -> DataFrame:
 def waves(modules: DataFrame, depends: DataFrame) -> DataFrame:
     """(module, wave): a module's wave comes after those of all it depends on; what cycles hold up is the last wave.
 
-    Each round takes the modules of which no dependency is left. Edges to unknown modules and to itself don't count.
+    Each round, one job, takes the modules of which no dependency is left. Edges to unknown modules and to itself don't
+    count. The rounds are run when this is called.
     """
-    nodes = cut(modules.select("module").distinct())
+    nodes = table(modules.select("module").distinct())
+    known = nodes.df
     edges = depends.where("src <> dst").select("src", "dst").distinct()
-    edges = edges.join(nodes.select(F.col("module").alias("src")), "src", "left_semi").join(nodes.select(F.col("module").alias("dst")), "dst", "left_semi")
-    edges, left, wave, out = cut(edges), nodes, 0, None
-    while True:
-        ready = cut(left.join(edges.select(F.col("src").alias("module")).distinct(), "module", "left_anti"))
-        if ready.isEmpty():
+    edges = edges.join(known.select(F.col("module").alias("src")), "src", "left_semi").join(known.select(F.col("module").alias("dst")), "dst", "left_semi")
+    edges, left, out, rows = table(edges).df, known, None, nodes.rows
+    open_ = edges
+    for wave in range(1, nodes.rows + 1):
+        ready = table(left.join(open_.select(F.col("src").alias("module")), "module", "left_anti").withColumn("wave", F.lit(wave)))
+        rows -= ready.rows
+        if ready.rows:
+            out = ready.df if out is None else out.unionByName(ready.df)
+            left = known.join(out, "module", "left_anti")
+            open_ = edges.join(out.select(F.col("module").alias("dst")), "dst", "left_anti")
+        if not ready.rows or not rows:
             break
-        wave += 1
-        level = ready.withColumn("wave", F.lit(wave))
-        out = level if out is None else out.unionByName(level)
-        left = cut(left.join(ready, "module", "left_anti"))
-        edges = cut(edges.join(ready.select(F.col("module").alias("dst")), "dst", "left_anti"))
-    rest = left.withColumn("wave", F.lit(wave + 1))
-    return rest if out is None else out.unionByName(rest)
+    else:
+        wave = 1
+    rest = left.withColumn("wave", F.lit(wave))
+    return rest if out is None else out.unionByName(rest) if rows else out
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
