@@ -187,9 +187,11 @@ def category_counts(rules: DataFrame) -> DataFrame:
 
 
 def audit(classes: DataFrame, examples: int = 5) -> DataFrame:
-    """Per label: classes and the first few names."""
+    """Per label: classes and the first few names; ranks are cut before the shuffle, so no list of all names arises."""
     rows = classes.select("fqn", F.explode("labels").alias("label"))
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("class_count"), F.slice(F.array_sort(F.collect_set("fqn")), 1, examples).alias("examples"))
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("class_count"))
+    ranked = rows.distinct().withColumn("__at", F.row_number().over(W.partitionBy("label").orderBy("fqn"))).where(F.col("__at") <= examples)
+    return counts.join(ranked.groupBy("label").agg(F.array_sort(F.collect_list("fqn")).alias("examples")), "label")
 
 
 def rewrite(sources: DataFrame, renames: DataFrame) -> DataFrame:

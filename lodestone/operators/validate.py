@@ -1,7 +1,7 @@
 """Graph-integrity validation: fifty checks as data, one plan.
 
-Each check is a DataFrame of offending items (or a count with its message); the runner folds every check to one row with a
-count and the first twenty details in order, and derives the status.
+Each check is a DataFrame of offending items, or a count with its message. The runner writes all items as one table, of
+which it takes counts and, by a ranked limit, the first twenty details; counts of the same table are one aggregate.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import bfs, without_path
@@ -17,7 +18,8 @@ from lodestone.operators.lexicon import RULE_NAME
 from lodestone.operators.modules import legacy
 from lodestone.plans.scratch import cut
 
-DETAILS = 20
+#: Details of a check, and of the one that lists modules.
+DETAILS, MODULE_DETAILS = 20, 1000
 ENTITY = ("javax.persistence.Entity", "jakarta.persistence.Entity")
 
 
@@ -40,7 +42,7 @@ class Graph:
 
     def settled(self) -> Graph:
         """The same graph with the tables that most checks read computed once and written to the checkpoint folder."""
-        return replace(self, classes=cut(self.classes), edges=cut(self.edges), actions=cut(self.actions))
+        return replace(self, classes=cut(self.classes), edges=cut(self.edges))
 
     def of(self, *types: str) -> DataFrame:
         return self.edges.where(F.col("type").isin(*types))
@@ -50,17 +52,25 @@ class Graph:
         return df.join(self.of(*types).select(F.col(side).alias(key)), key, "left_anti")
 
 
+@dataclass(frozen=True)
+class Items:
+    """Offenders: the rows of one column item that aren't null; up to `above` of them count as none."""
+
+    df: DataFrame
+    details: int = DETAILS
+    above: int = 0
+
+
 @dataclass(frozen=True)
 class Check:
     name: str
     severity: str
-    #: graph -> (DataFrame, what to count, what to list)
-    run: Callable[[Graph], tuple[DataFrame, Column, Column]]
+    #: graph -> Items, or (DataFrame, aggregate that counts, aggregate with a bounded list of details)
+    run: Callable[[Graph], Items | tuple[DataFrame, Column, Column]]
 
 
-def _items(df: DataFrame, what: Column | str) -> tuple[DataFrame, Column, Column]:
-    what = F.col(what) if isinstance(what, str) else what
-    return df.select(what.alias("item")), F.count("item"), F.slice(F.array_sort(F.collect_list("item")), 1, DETAILS)
+def _items(df: DataFrame, what: Column | str, details: int = DETAILS, above: int = 0) -> Items:
+    return Items(df.select((F.col(what) if isinstance(what, str) else what).alias("item")), details, above)
 
 
 def _flag(df: DataFrame, bad: Column, message: str) -> tuple[DataFrame, Column, Column]:
@@ -76,19 +86,19 @@ def _labelled(g: Graph, label: str) -> DataFrame:
     return g.classes.where(F.array_contains("labels", label))
 
 
-def _ends(g: Graph, kind: str, src: str, dst: str) -> tuple[DataFrame, Column, Column]:
+def _ends(g: Graph, kind: str, src: str, dst: str) -> Items:
     bad = g.of(kind).where((F.col("src_kind") != src) | (F.col("dst_kind") != dst))
     return _items(bad, F.concat("src", F.lit(f" -{kind}-> "), "dst"))
 
 
-def _parent_missing(g: Graph) -> tuple[DataFrame, Column, Column]:
+def _parent_missing(g: Graph) -> Items:
     named = g.classes.where("super_class is not null").select("fqn", "super_class")
     known = named.join(g.classes.select(F.col("fqn").alias("super_class")), "super_class", "left_semi")
     have = g.of("EXTENDS").select(F.col("src").alias("fqn"), F.col("dst").alias("super_class"))
     return _items(known.join(have, ["fqn", "super_class"], "left_anti"), F.concat("fqn", F.lit(" -> "), "super_class"))
 
 
-def _repository_queries(g: Graph) -> tuple[DataFrame, Column, Column]:
+def _repository_queries(g: Graph) -> Items:
     declared = g.of("DECLARES_METHOD").select(F.col("src").alias("fqn"), F.col("dst").alias("method_id"))
     querying = declared.join(g.of("QUERIES").select(F.col("src").alias("method_id")), "method_id", "left_semi").select("fqn")
     return _items(_labelled(g, "Repository").join(querying, "fqn", "left_anti"), "fqn")
@@ -106,14 +116,14 @@ def _pilot_size(g: Graph) -> tuple[DataFrame, Column, Column]:
     return own, F.when(few, n).otherwise(0), F.when(few, F.array(F.concat(F.lit("too few pilot classes: "), n.cast("string")))).otherwise(F.array().cast("array<string>"))
 
 
-def _action_counts(g: Graph) -> tuple[DataFrame, Column, Column]:
+def _action_counts(g: Graph) -> Items:
     edges = g.of("HAS_MIGRATION_ACTION").groupBy(F.col("src").alias("fqn")).agg(F.count(F.lit(1)).alias("n"))
     return _items(edges.join(g.classes.select("fqn", "action_count"), "fqn").where("n <> action_count"), "fqn")
 
 
-def _zero_risk(g: Graph) -> tuple[DataFrame, Column, Column]:
+def _zero_risk(g: Graph) -> Items:
     per = g.classes.where("module is not null and module <> ''").groupBy("module").agg(F.avg(F.coalesce("enhanced_risk", F.lit(0.0))).alias("r"))
-    return per.where("r = 0").select(F.col("module").alias("item")), F.count("item"), F.array_sort(F.collect_list("item"))  # all of them
+    return _items(per.where("r = 0"), "module", MODULE_DETAILS)
 
 
 def _cross_module(g: Graph) -> tuple[DataFrame, Column, Column]:
@@ -122,10 +132,8 @@ def _cross_module(g: Graph) -> tuple[DataFrame, Column, Column]:
     return _flag(e, _missing(F.col("s") != F.col("t")), "no dependency crosses modules")
 
 
-def _unmapped(g: Graph) -> tuple[DataFrame, Column, Column]:
-    bad = g.actions.where("automatable = 'NO' and action_type = 'COMPLEX_REWRITE'").select("source").distinct()
-    n = F.count(F.lit(1))
-    return bad, F.when(n > 10, n).otherwise(0), F.when(n > 10, F.slice(F.array_sort(F.collect_list("source")), 1, DETAILS)).otherwise(F.array().cast("array<string>"))
+def _unmapped(g: Graph) -> Items:
+    return _items(g.actions.where("automatable = 'NO' and action_type = 'COMPLEX_REWRITE'").select("source").distinct(), "source", above=10)
 
 
 def _nothing(g: Graph) -> tuple[DataFrame, Column, Column]:
@@ -187,19 +195,55 @@ CHECKS = (
 
 
 def report(graph: Graph, checks=CHECKS) -> DataFrame:
-    """(name, severity, status, count, details) of every check, as one union of one-row plans.
+    """(name, severity, status, count, details) of every check.
 
     A count of zero passes; else a warning warns and an error fails. The count of call edges is meant to be positive.
+    The offending items are written when this is called.
     """
-    graph, out = graph.settled(), None
+    graph, items, flags = graph.settled(), [], {}
     for c in checks:
-        df, n, details = c.run(graph)
-        row = df.agg(n.cast("long").alias("count"), details.alias("details"))
-        ok = F.col("count") > 0 if c.name == "CALLS_EDGE_COVERAGE" else F.col("count") == 0
-        status = F.when(ok, "PASS").otherwise("FAIL" if c.severity == "ERROR" else "WARN")
-        row = row.select(F.lit(c.name).alias("name"), F.lit(c.severity).alias("severity"), status.alias("status"), "count", "details")
-        out = row if out is None else out.unionByName(row)
-    return out
+        found = c.run(graph)
+        if isinstance(found, Items):
+            items.append((c, found))
+        else:
+            flags.setdefault(id(found[0]), (found[0], []))[1].append((c, *found[1:]))
+    rows = [_counted(df, own) for df, own in flags.values()]
+    if items:
+        rows.append(_listed(items))
+    out = rows[0] if rows else graph.classes.sparkSession.createDataFrame([], "name string, severity string, count long, details array<string>")
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    ok = F.when(F.col("name") == "CALLS_EDGE_COVERAGE", F.col("count") > 0).otherwise(F.col("count") == 0)
+    status = F.when(ok, "PASS").when(F.col("severity") == "ERROR", "FAIL").otherwise("WARN")
+    return out.select("name", "severity", status.alias("status"), "count", "details")
+
+
+def _counted(df: DataFrame, checks: list[tuple[Check, Column, Column]]) -> DataFrame:
+    """The checks that count one table, as one aggregate."""
+    one = df.agg(*(x for k, (_, n, details) in enumerate(checks) for x in (n.cast("long").alias(f"n{k}"), details.alias(f"d{k}"))))
+    each = [F.struct(F.lit(c.name).alias("name"), F.lit(c.severity).alias("severity"), F.col(f"n{k}").alias("count"), F.col(f"d{k}").alias("details")) for k, (c, _, _) in enumerate(checks)]
+    return one.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+
+
+def _listed(checks: list[tuple[Check, Items]]) -> DataFrame:
+    """The checks that list items: all items as one table, counted and ranked; the rank's limit is applied before the shuffle."""
+    found = None
+    for k, (_, x) in enumerate(checks):
+        rows = x.df.where("item is not null").select(F.lit(k).alias("k"), F.col("item").cast("string").alias("item"))
+        found = rows if found is None else found.unionByName(rows)
+    found = cut(found)
+    counts = found.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    most = max(x.details for _, x in checks)
+    ranked = found.withColumn("at", F.row_number().over(W.partitionBy("k").orderBy("item"))).where(F.col("at") <= most)
+    about = [F.struct(F.lit(k).alias("k"), F.lit(c.name).alias("name"), F.lit(c.severity).alias("severity"), F.lit(x.details).alias("most"), F.lit(x.above).alias("above")) for k, (c, x) in enumerate(checks)]
+    spec = found.sparkSession.range(1).select(F.explode(F.array(*about)).alias("r")).select("r.*")
+    lists = ranked.join(F.broadcast(spec.select("k", "most")), "k").where("at <= most").groupBy("k").agg(F.array_sort(F.collect_list("item")).alias("details"))  # a row a check
+    joined = spec.join(counts, "k", "left").join(lists, "k", "left")
+    bad = F.coalesce("n", F.lit(0)) > F.col("above")
+    return joined.select(
+        "name", "severity", F.when(bad, F.col("n")).otherwise(0).cast("long").alias("count"),
+        F.when(bad, F.col("details")).otherwise(F.array().cast("array<string>")).alias("details"),
+    )
 
 
 def totals(found: DataFrame) -> DataFrame:

@@ -7,6 +7,11 @@ source as well.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,37 @@ FRAMEWORK = "com.vaadin."
 MEDIUM_TERMS = ("order", "report", "blue")
 
 
+_plans: ContextVar[dict | None] = ContextVar("plans", default=None)
+
+
+@contextmanager
+def once() -> Iterator[None]:
+    """Inside, every view of the same tables is planned once; a later query reads the tables anew."""
+    if _plans.get() is not None:
+        yield
+        return
+    token = _plans.set({})
+    try:
+        yield
+    finally:
+        _plans.reset(token)
+
+
+def shared(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @wraps(view)
+    def get(spark: SparkSession, *names: str) -> DataFrame:
+        held = _plans.get()
+        if held is None:
+            return view(spark, *names)
+        key = (view, id(spark), names)
+        if key not in held:
+            held[key] = view(spark, *names)
+        return held[key]
+
+    return get
+
+
+@shared
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,6 +69,7 @@ def _case(column, mapping: dict[str, str]):
     return out
 
 
+@shared
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     words = F.split("p_name", " ")
@@ -65,6 +102,7 @@ CLASSES = (
 )
 
 
+@shared
 def depends_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, kind): two dependencies of each class and a parallel one of every tenth; cycles occur."""
     c = classes(spark, sf_dir).select("id", "fqn")
@@ -93,6 +131,7 @@ DEPENDS = (
 )
 
 
+@shared
 def extends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): a tree deeper than ten levels."""
     c = classes(spark, sf_dir).select("id", "fqn")
@@ -105,6 +144,7 @@ def extends(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXTENDS = "ext AS (SELECT c.fqn AS src, p.fqn AS dst FROM cls c JOIN cls p ON p.id = c.id // 2 WHERE c.id > 0)"
 
 
+@shared
 def class_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fqn, term_id): the domain words of each class name."""
     from lodestone.functions.text import term_words
@@ -118,6 +158,7 @@ WORDS = (
 )
 
 
+@shared
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.operators.lexicon import seed_criticality
 
@@ -144,6 +185,7 @@ TERMS = (
 )
 
 
+@shared
 def defines_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.operators.lexicon import RULE_NAME
 
@@ -154,6 +196,7 @@ def defines_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = "rul AS (SELECT w.fqn, w.term_id FROM wrd w JOIN cls USING (fqn) WHERE regexp_full_match(simple_name, '.*(Validator|Rule|Policy|Constraint|Calculator|Strategy).*'))"
 
 
+@shared
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Migration actions: one per line item."""
     c = classes(spark, sf_dir).select(F.col("id").alias("l_partkey"), "fqn")
@@ -174,6 +217,7 @@ ACTIONS = (
 )
 
 
+@shared
 def nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(s, t): every link from a customer's nation to another one that supplies it."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -200,6 +244,7 @@ NATION_MODULES = (
 )
 
 
+@shared
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector points: label is the module, the class is the part of that number."""
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("module"))

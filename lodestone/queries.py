@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,18 @@ def query(name: str, sql: str | None = None):
     """Register a query; sql follows the common views."""
 
     def add(f: _Query) -> _Query:
-        REGISTRY[name] = (f, None if sql is None else f"{a.WITH}{sql if sql.startswith(',') else ' ' + sql}")
+        @wraps(f)
+        def run(s: SparkSession, d: str) -> DataFrame:
+            with a.once():
+                return f(s, d)
+
+        REGISTRY[name] = (run, None if sql is None else f"{a.WITH}{sql if sql.startswith(',') else ' ' + sql}")
         return f
 
     return add
 
 
+@a.shared
 def _scored(s: SparkSession, d: str) -> DataFrame:
     words = a.class_words(s, d)
     return risk.scores(a.classes(s, d), a.depends_on(s, d), words, a.terms(s, d), a.defines_rule(s, d))
@@ -115,6 +122,7 @@ def risk_heatmap_filtered(s, d):
     return _heat(risk.heatmap(_scored(s, d), a.actions(s, d), "com.vaadin", "Brand#7", "com.acme", "Service", 20, "fan_in"))
 
 
+@a.shared
 def _methods(s: SparkSession, d: str) -> DataFrame:
     """Line items as methods of their part: complexity is the quantity."""
     c = a.classes(s, d).select(F.col("id").alias("l_partkey"), "fqn")
