@@ -193,7 +193,13 @@ def defines_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_words(spark, sf_dir).join(named, "fqn", "left_semi")
 
 
-RULES = "rul AS (SELECT w.fqn, w.term_id FROM wrd w JOIN cls USING (fqn) WHERE regexp_full_match(simple_name, '.*(Validator|Rule|Policy|Constraint|Calculator|Strategy).*'))"
+#: Fixed values of the linking pass, written out here and not taken from the operator that is held against them.
+RULES = (
+    "rul AS (SELECT DISTINCT fqn, term_id FROM (SELECT fqn, lower(unnest(regexp_extract_all(simple_name, '[A-Z][a-z]+'))) AS term_id FROM cls"
+    " WHERE regexp_full_match(simple_name, '.*(Validator|Rule|Policy|Constraint|Calculator|Strategy).*')) WHERE length(term_id) > 1"
+    " AND term_id NOT IN ('service','repository','controller','manager','handler','factory','builder','config','configuration','impl','base','abstract',"
+    "'helper','util','utils','test','validator','rule','policy','constraint','calculator','strategy','enum','type') AND term_id IN (SELECT term_id FROM trm))"
+)
 
 
 @shared
