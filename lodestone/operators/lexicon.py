@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import camel_words, capitalize, enum_words, keywords, snippet, term_words
+from lodestone.functions.text import camel_words, capitalize, enum_words, keywords, link_words, snippet, term_words
 from lodestone.operators.graph import first_of
 
 #: Fixed value: names of classes that hold business rules.
 RULE_NAME = ".*(Validator|Rule|Policy|Constraint|Calculator|Strategy).*"
+#: Annotations of classes that are rules themselves.
+RULE_ANNOTATIONS = ("javax.validation.Constraint", "jakarta.validation.Constraint")
+#: Fixed value: abbreviations inside class names.
+ABBREVIATION = r"(?<=[a-z])[A-Z]{2,4}(?=[A-Z][a-z]|$)|^[A-Z]{2,4}(?=[A-Z][a-z])"
 #: Terms that are critical from the start.
 MONEY_SEEDS = ("payment", "invoice", "billing", "ledger", "transaction", "price", "cost", "fee", "amount", "currency", "refund", "credit", "debit")
 ACCESS_SEEDS = ("auth", "login", "password", "credential", "token", "session", "permission", "role", "encrypt", "decrypt", "security", "access")
@@ -20,7 +24,8 @@ ACRONYMS = (
     "JWT", "SAML", "CORS", "CSV", "PDF", "PNG", "GIF", "SVG", "UUID", "ORM", "MVC", "MVP", "MVVM", "GUI", "CLI", "IDE", "SDK", "SPI", "RPC",
     "GRPC", "AMQP", "OIDC",
 )
-MIN_OVERLAP = 2
+#: Keywords that a term and a section share at least, and tasks that a word's sections are dealt to.
+MIN_OVERLAP, WORD_SALTS = 2, 8
 
 
 def seed_criticality(term: Column) -> Column:
@@ -31,6 +36,11 @@ def sensitivity(criticality: Column) -> Column:
     return F.when(criticality == "High", "Moderate").otherwise("None")
 
 
+def curated_sensitivity(criticality: Column) -> Column:
+    """The sensitivity of a term whose criticality is set by hand."""
+    return F.when(criticality == "High", "Critical").when(criticality == "Medium", "Moderate").otherwise("None")
+
+
 def extract_terms(classes: DataFrame) -> DataFrame:
     """(term_id, fqn, source_type) from class names and, where a column constants has them, enum constants."""
     kind = F.when(F.col("is_enum"), "ENUM_NAME").otherwise("CLASS_NAME") if "is_enum" in classes.columns else F.lit("CLASS_NAME")
@@ -59,11 +69,13 @@ def enrich_from_sections(terms: DataFrame, sections: DataFrame) -> DataFrame:
     """terms(term_id, text), sections(section_id, source, heading, body) -> (term_id, section_id, score, context, origin).
 
     The section that shares most keywords with the term, two at least; of equals the first. Keywords are joined by
-    equality, so no pairs without a common word arise.
+    equality, so no pairs without a common word arise; each word's sections are dealt to WORD_SALTS tasks, as a common
+    word is in many.
     """
-    t = terms.select("term_id", F.explode(keywords(F.col("text"))).alias("word"))
-    s = sections.select("section_id", F.explode(keywords(F.concat_ws(" ", "heading", "body"))).alias("word"))
-    score = t.join(s, "word").groupBy("term_id", "section_id").agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= MIN_OVERLAP)
+    salt = F.pmod(F.hash("section_id"), F.lit(WORD_SALTS))
+    t = terms.select("term_id", F.explode(keywords(F.col("text"))).alias("word")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))))
+    s = sections.select("section_id", F.explode(keywords(F.concat_ws(" ", "heading", "body"))).alias("word")).withColumn("salt", salt)
+    score = t.join(s, ["word", "salt"]).groupBy("term_id", "section_id").agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= MIN_OVERLAP)
     best = score.groupBy("term_id").agg(F.max(F.struct("score", (-F.col("section_id")).alias("neg"))).alias("b"))
     chosen = best.select("term_id", (-F.col("b.neg")).alias("section_id"), F.col("b.score").alias("score"))
     return chosen.join(sections, "section_id").select("term_id", "section_id", "score", snippet(F.col("body")).alias("context"), F.concat_ws(" § ", "source", "heading").alias("origin"))
@@ -85,12 +97,25 @@ def class_descriptions(uses: DataFrame, terms: DataFrame, classes: DataFrame, lo
 
 def abbreviations(classes: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     """(abbreviation, seen_in): runs of two to four capitals inside class names, without technical acronyms and what the glossary has."""
-    pattern = r"(?<=[a-z])[A-Z]{2,4}(?=[A-Z][a-z]|$)|^[A-Z]{2,4}(?=[A-Z][a-z])"
-    found = classes.select("simple_name", F.explode(F.regexp_extract_all("simple_name", F.lit(pattern), F.lit(0))).alias("abbreviation"))
+    found = classes.select("simple_name", F.explode(F.regexp_extract_all("simple_name", F.lit(ABBREVIATION), F.lit(0))).alias("abbreviation"))
     out = found.where(~F.col("abbreviation").isin(*ACRONYMS)).groupBy("abbreviation").agg(F.min("simple_name").alias("seen_in"))
     return out if glossary is None else out.join(glossary.select("abbreviation"), "abbreviation", "left_anti")
 
 
+def abbreviation_terms(classes: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Terms of the glossary (abbreviation, expansion, evidence), and of the abbreviations in class names that it lacks.
+
+    Those of the glossary come first, whether a class has them or not; of several classes the first by name is told.
+    """
+    known = glossary.select(F.col("abbreviation").alias("term_id"), F.concat("abbreviation", F.lit(" — "), "expansion").alias("display_name"), F.col("evidence").alias("definition"), F.lit(True).alias("known"))
+    new = abbreviations(classes, glossary).select(
+        F.col("abbreviation").alias("term_id"), F.concat("abbreviation", F.lit(" — ?")).alias("display_name"),
+        F.concat(F.lit("Found in class "), "seen_in", F.lit(", to be expanded")).alias("definition"), F.lit(False).alias("known"),
+    )
+    fixed = {"source_type": "ABBREVIATION", "criticality": "Low", "sensitivity": "None", "status": "auto", "domain_area": "GLOSSARY"}
+    return known.unionByName(new).withColumns({k: F.lit(v) for k, v in fixed.items()} | {"curated": F.lit(False), "usage_count": F.lit(0).cast("long")})
+
+
 def search(
     terms: DataFrame, criticality: str | None = None, curated: bool | None = None, text: str | None = None, source_type: str | None = None,
     ui_role: str | None = None, domain_area: str | None = None, nls_only: bool = False, limit: int = 500,
@@ -119,10 +144,26 @@ def terms_of_class(terms: DataFrame, uses: DataFrame, fqn: str) -> DataFrame:
 
 
 def curate(terms: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes(term_id, criticality, definition) set by hand: the row becomes curated and its sensitivity follows."""
-    c = changes.select("term_id", F.col("criticality").alias("__c"), F.lit(True).alias("__hit"))
-    out = terms.join(c, "term_id", "left")
-    return out.withColumn("criticality", F.coalesce("__c", "criticality")).withColumn("curated", F.coalesce("__hit", "curated")).drop("__c", "__hit").select(terms.columns)
+    """changes(term_id, criticality, definition, synonyms), unique by term, set by hand: the rows become curated, their
+    sensitivity follows the criticality, and columns that terms lacks (status, sensitivity, definition, synonyms) are added.
+
+    A null criticality is Low, a null definition empty, null synonyms none; a column that changes lacks stays as it is.
+    Changes of unknown terms do nothing.
+    """
+    none = {"criticality": F.lit("Low"), "definition": F.lit(""), "synonyms": F.array().cast("array<string>")}
+    given = [c for c in none if c in changes.columns]
+    new = changes.select("term_id", *(F.coalesce(c, none[c]).alias(f"__{c}") for c in given), F.lit(True).alias("__hit"))
+    out = terms.join(new, "term_id", "left")
+    hit, held = F.col("__hit"), set(terms.columns)
+    old = lambda c, kind="string": F.col(c) if c in held else F.lit(None).cast(kind)
+    values = {c: F.when(hit, F.col(f"__{c}")).otherwise(old(c, "array<string>" if c == "synonyms" else "string")) for c in given}
+    level = F.col("__criticality") if "criticality" in given else F.col("criticality")
+    values |= {
+        "curated": F.coalesce(hit, F.col("curated")), "status": F.when(hit, "curated").otherwise(old("status")),
+        "sensitivity": F.when(hit, curated_sensitivity(level)).otherwise(old("sensitivity")),
+    }
+    names = [*terms.columns, *(c for c in values if c not in held)]
+    return out.select(*(values[c].alias(c) if c in values else F.col(c) for c in names))
 
 
 def glossary_areas(terms: DataFrame, top: int = 5) -> DataFrame:
@@ -153,8 +194,11 @@ def link_terms(terms: DataFrame, depends: DataFrame, classes: DataFrame) -> Data
 
 
 def link_rules(classes: DataFrame, terms: DataFrame) -> DataFrame:
-    """(fqn, term_id): classes named like a rule and the terms among their words."""
-    words = classes.where(F.col("simple_name").rlike(f"^(?:{RULE_NAME})$")).select("fqn", F.explode(term_words(F.col("simple_name"))).alias("term_id"))
+    """(fqn, term_id): classes named like a rule, or annotated as one, and the terms among their words."""
+    rule = F.col("simple_name").rlike(f"^(?:{RULE_NAME})$")
+    if "annotations" in classes.columns:
+        rule = rule | F.coalesce(F.arrays_overlap("annotations", F.array(*map(F.lit, RULE_ANNOTATIONS))), F.lit(False))
+    words = classes.where(rule).select("fqn", F.explode(link_words(F.col("simple_name"))).alias("term_id"))
     return words.join(terms.select("term_id"), "term_id", "left_semi").select("fqn", "term_id").distinct()
 
 

@@ -187,10 +187,9 @@ TERMS = (
 
 @shared
 def defines_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.operators.lexicon import RULE_NAME
+    from lodestone.operators.lexicon import link_rules
 
-    named = classes(spark, sf_dir).where(F.col("simple_name").rlike(f"^(?:{RULE_NAME})$")).select("fqn")
-    return class_words(spark, sf_dir).join(named, "fqn", "left_semi")
+    return link_rules(classes(spark, sf_dir), terms(spark, sf_dir))
 
 
 #: Fixed values of the linking pass, written out here and not taken from the operator that is held against them.
