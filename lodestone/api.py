@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, lexicon, merge, modules, retrieve, risk, rules, validate, vectors
@@ -41,6 +42,8 @@ class Engine:
     commits: DataFrame
     framework: str = "com.vaadin."
     modern: str = "com.vaadin.flow."
+    #: Edges (src, dst) of other kinds that a cone goes along: implements, binds to, maps to a table, declares, calls.
+    links: DataFrame | None = None
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -48,7 +51,8 @@ class Engine:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.depends.select("src", "dst").unionByName(self.extends.select("src", "dst"))
+        out = self.depends.select("src", "dst").unionByName(self.extends.select("src", "dst"))
+        return out if self.links is None else out.unionByName(self.links.select("src", "dst"))
 
     def _known(self, fqn: str) -> None:
         if self.classes.where(F.col("fqn") == fqn).limit(1).isEmpty():
@@ -142,6 +146,24 @@ class Engine:
         parts = retrieve.context(self.points, query, self.edges, self.scored, fqn)
         return parts | {"structure": self.class_structure(fqn), "inheritance": self.inheritance(fqn), "terms": self.terms_of(fqn), "rules": self.defines.where(F.col("fqn") == fqn)}
 
+    def whole_context(self, fqn: str, query: DataFrame, budget: int = retrieve.BUDGET) -> retrieve.Context:
+        """Structure, inheritance, cone, risk, terms, rules and chunks of a class within a token budget; a part that can't be
+        read is a warning."""
+        focal = self.spark.createDataFrame([(fqn,)], "node string")
+
+        def chunks() -> DataFrame:
+            found = retrieve.retrieve(self.points, query, self.edges, self.scored, focal)
+            return found.drop("vector").withColumn("rank", F.row_number().over(W.orderBy(F.desc("final_score"), "vec_id")))  # at most 20 rows
+
+        def cone() -> DataFrame:
+            known = self.classes.where(F.col("fqn") == fqn).select(F.col("fqn").alias("node"))
+            return graph.cone_with_hops(self.edges, known)
+
+        return retrieve.assemble({
+            "structure": lambda: self.class_structure(fqn), "inheritance": lambda: self.inheritance(fqn), "cone": cone, "risk": lambda: self.scored.where(F.col("fqn") == fqn),
+            "terms": lambda: self.terms_of(fqn), "rules": lambda: self.defines.where(F.col("fqn") == fqn), "chunks": chunks,
+        }, budget)
+
     def cone_summary(self, fqn: str) -> DataFrame:
         focal = self.spark.createDataFrame([(fqn,)], "node string")
         return retrieve.cone_summary(graph.cone_with_hops(self.edges, focal), self.classes, self.scored, modules.legacy())

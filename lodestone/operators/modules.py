@@ -77,8 +77,8 @@ def recommend_schedule(scored: DataFrame, depends: DataFrame, commits: DataFrame
     ranked = schedule_scores(scored, dependent_counts(scored, depends), commits).join(waves(scored.where("module <> ''").select("module"), edges), "module")
     grade = lambda x, a, b, c: F.when(x < 0.3, a).when(x < 0.6, b).otherwise(c)
     why = F.format_string(
-        "Avg risk %.2f (%s), %d dependents, %d commits, avg CC %.1f: %s", "avg_risk", grade(F.col("avg_risk"), "safe", "moderate", "high"),
-        "dependents", "commits", "avg_complexity", grade(F.col("score"), "safe early target", "moderate priority", "complex, schedule later"),
+        "mean risk %.2f is %s; %d modules depend on it, %d commits touched it, mean complexity %.1f: %s", "avg_risk", grade(F.col("avg_risk"), "low", "middling", "high"),
+        "dependents", "commits", "avg_complexity", grade(F.col("score"), "take it early", "take it in the middle", "leave it for late"),
     )
     return ranked.withColumn("rationale", why).orderBy("wave", "score", "module")
 
@@ -93,9 +93,8 @@ def pilot_recommend(scored: DataFrame, limit: int = 5, least: int = 5) -> DataFr
     ideal = F.col("class_count").between(15, 40)
     score = F.col("legacy_count") / F.col("class_count") * 0.4 + F.col("risk_diversity") * 0.3 + F.when(ideal, 0.3).otherwise(0.0)
     why = F.concat(
-        F.when(F.col("legacy_count") > 0, F.format_string("High Vaadin 7 density (%d/%d classes)", "legacy_count", "class_count")).otherwise("No Vaadin 7 classes detected"),
-        F.format_string(", risk diversity=%.3f", "risk_diversity"),
-        F.when(ideal, F.format_string(", ideal size range (%d classes)", "class_count")).otherwise(F.format_string(", size=%d (outside ideal 15-40)", "class_count")),
+        F.format_string("%d of %d classes are to be migrated; risk deviates by %.3f; ", "legacy_count", "class_count", "risk_diversity"),
+        F.when(ideal, "a good size for a pilot").otherwise("a pilot had better have 15 to 40 classes"),
     )
     return g.withColumn("score", F.round(score, 9)).withColumn("rationale", why).orderBy(F.desc("score"), "module").limit(limit)
 

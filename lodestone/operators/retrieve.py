@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,6 +87,55 @@ def completeness(cone: bool, risk: bool, terms: bool, rules: bool, chunks: bool)
     return round(0.25 * cone + 0.20 * risk + 0.15 * terms + 0.10 * rules + 0.30 * chunks, 2)
 
 
+#: Parts of a context whose weight counts as soon as they could be read, and those that need rows.
+READ_WEIGHTS, FOUND_WEIGHTS = {"terms": 0.15, "rules": 0.10}, {"cone": 0.25, "risk": 0.20, "chunks": 0.30}
+
+
+@dataclass(frozen=True)
+class Context:
+    """What is known of a class, cut to a number of tokens; parts that failed are missing and told in warnings."""
+
+    parts: dict[str, DataFrame]
+    warnings: list[tuple[str, str]]
+    completeness: float
+    truncated: bool
+    truncated_items: int
+
+
+def assemble(parts: dict[str, Callable[[], DataFrame]], budget: int = BUDGET, cone_nodes: int = CONE_NODES) -> Context:
+    """Every part is read by itself: one that fails gives a warning, and an empty cone or risk another.
+
+    If all parts together take more tokens than the budget, chunks (with a column rank) are dropped from the last on, and
+    if that doesn't suffice, the cone (with hop and node) is cut to its nearest nodes. A part's tokens are a quarter of
+    its JSON list; a dropped chunk gives back those of its own JSON.
+    """
+    held, warnings, tokens = {}, [], {}
+    size = F.length(F.to_json(F.struct("*")))
+    for name, make in parts.items():
+        try:
+            df = cut(make())
+            row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+        except Exception as error:  # noqa: BLE001 any failure of a part is a warning
+            warnings.append((name, str(error).partition("\n")[0][:500]))
+            continue
+        if name in ("cone", "risk") and not row["n"]:
+            warnings.append((name, f"nothing found for {name}"))
+        held[name] = (df, row["n"])
+        tokens[name] = (row["bytes"] + max(0, row["n"] - 1) + 2) // 4
+    full = sum(w for k, w in READ_WEIGHTS.items() if k in held) + sum(w for k, w in FOUND_WEIGHTS.items() if k in held and held[k][1])
+    out, total, dropped, truncated = {k: df for k, (df, _) in held.items()}, sum(tokens.values()), 0, False
+    if total > budget and "chunks" in held:
+        df, n = held["chunks"]
+        kept = cut(token_budget(df.withColumn("tokens", F.floor(size / 4)), others=total - tokens["chunks"], budget=budget, whole=tokens["chunks"]))
+        left = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+        dropped = n - left["n"]
+        gone = df.agg(F.sum(F.floor(size / 4))).first()[0] or 0
+        total, truncated, out["chunks"] = total - (gone - left["tokens"]), dropped > 0, kept.drop("tokens")
+    if total > budget and "cone" in held and held["cone"][1] > cone_nodes:
+        out["cone"], truncated = held["cone"][0].orderBy("hop", "node").limit(cone_nodes), True
+    return Context(out, warnings, round(min(full, 1.0), 2), truncated, dropped)
+
+
 def best_description(curated: Column, automatic: Column) -> Column:
     """A description by hand before one made automatically; blank ones don't count."""
     own = lambda c: F.when(F.trim(c) != "", c)

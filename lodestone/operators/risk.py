@@ -22,7 +22,10 @@ MONEY_PACKAGES = ("payment", "billing", "finance", "accounting", "ledger", "tran
 MONEY_TERMS = ("payment", "invoice", "billing", "ledger", "transaction", "currency", "tax", "price", "fee", "charge", "refund", "balance", "credit", "debit")
 #: Labels that count as stereotypes.
 STEREOTYPES = ("Service", "Repository", "VaadinView", "VaadinComponent", "VaadinDataBinding", "Controller", "RestController", "Component", "Configuration")
+#: Weights of the parts of a graded score.
 NAME, ANNOTATION, BOTH, PACKAGE, TERM = 0.3, 0.5, 0.2, 0.2, 0.2
+#: Weights of complexity, fan-in, fan-out and database writes, in the structural and the enhanced score.
+STRUCTURAL, ENHANCED = (0.4, 0.2, 0.2, 0.2), (0.24, 0.12, 0.12, 0.12)
 
 
 def _any(words) -> str:
@@ -40,7 +43,12 @@ def _graded(name: Column, annotation: Column, package: Column, term: Column | No
 
 def structural(cc: Column, fan_in: Column, fan_out: Column, writes: Column) -> Column:
     """Unbounded: 0.4 ln(1 + complexity) + 0.2 ln(1 + fan-in) + 0.2 ln(1 + fan-out) + 0.2 if it writes to a database."""
-    return F.log1p(cc) * 0.4 + F.log1p(fan_in) * 0.2 + F.log1p(fan_out) * 0.2 + F.when(writes, 0.2).otherwise(0.0)
+    return _weighted(STRUCTURAL, cc, fan_in, fan_out, writes)
+
+
+def _weighted(weights, cc: Column, fan_in: Column, fan_out: Column, writes: Column) -> Column:
+    a, b, c, d = weights
+    return F.log1p(cc) * a + F.log1p(fan_in) * b + F.log1p(fan_out) * c + F.when(writes, d).otherwise(0.0)
 
 
 def domain_criticality(classes: DataFrame, uses: DataFrame, terms: DataFrame) -> DataFrame:
@@ -99,7 +107,7 @@ def scores(classes: DataFrame, depends: DataFrame, uses: DataFrame, terms: DataF
         F.log1p(F.coalesce("rule_count", F.lit(0))).alias("business_rule_density"),
     )
     enhanced = (
-        F.log1p(cc) * 0.24 + F.log1p("fan_in") * 0.12 + F.log1p("fan_out") * 0.12 + F.when(F.col("has_db_writes"), 0.12).otherwise(0.0)
+        _weighted(ENHANCED, cc, F.col("fan_in"), F.col("fan_out"), F.col("has_db_writes"))
         + F.col("domain_criticality") * 0.1 + F.col("security_sensitivity") * 0.1 + F.col("financial_involvement") * 0.1 + F.col("business_rule_density") * 0.1
     )
     return base.withColumn("enhanced_risk", enhanced)

@@ -128,6 +128,37 @@ def migration_plan(actions: DataFrame, fqn: str) -> DataFrame:
     return lists.join(migration_scores(own), "fqn")
 
 
+def wrapper_intermediaries(actions: DataFrame, fqn: str, wrappers: str) -> DataFrame:
+    """One row: distinct wrapper classes that one class inherits actions from, and whether there are any."""
+    own = actions.where((F.col("fqn") == fqn) & F.col("inherited_from").startswith(wrappers))
+    return own.agg(F.countDistinct("inherited_from").alias("intermediaries")).withColumn("has_intermediaries", F.col("intermediaries") > 0)
+
+
+def wrapper_counts(classes: DataFrame, actions: DataFrame, wrappers: str) -> DataFrame:
+    """One row over the included classes: those with an action from a wrapper, and those that inherit one through a wrapper."""
+    direct, through = F.col("source").startswith(wrappers), F.col("is_inherited") & F.col("inherited_from").startswith(wrappers)
+    own = actions.where(direct | through).groupBy("fqn").agg(F.bool_or(F.coalesce(direct, F.lit(False))).alias("direct"), F.bool_or(F.coalesce(through, F.lit(False))).alias("through"))
+    return own.join(included(classes).select("fqn"), "fqn", "left_semi").agg(F.count_if("direct").alias("affected"), F.count_if("through").alias("second_layer"))
+
+
+def top_gaps(rules: DataFrame, begins: str = "", limit: int = 5) -> DataFrame:
+    """The sources that most usages wait for a mapping of, of one prefix if it is given."""
+    return gaps(rules.where(F.col("source").startswith(begins)), limit=limit).select("source", "usage_count")
+
+
+def by_automatability(actions: DataFrame) -> DataFrame:
+    """Actions in the order in which they are shown: what can't be automated first, then in part, then wholly."""
+    rank = F.when(F.col("automatable") == "NO", 0).when(F.col("automatable") == "PARTIAL", 1).when(F.col("automatable") == "YES", 2).otherwise(3)
+    return actions.withColumn("rank", rank).orderBy("rank", "source", "action_id")
+
+
+def apply_changes(sources: DataFrame, renames: DataFrame, path: str) -> DataFrame:
+    """rewrite, with the files that change written below path as (path, content); their (path, diff) is returned."""
+    changed = rewrite(sources, renames).where("before <> after")
+    changed.select("path", F.col("after").alias("content"), "diff").write.mode("errorifexists").parquet(path)
+    return changed.sparkSession.read.parquet(path).select("path", "diff")
+
+
 def summary(classes: DataFrame, actions: DataFrame) -> DataFrame:
     """One row over the included classes: per class first, then all together."""
     c = included(classes).select("fqn", "module")

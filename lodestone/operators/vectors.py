@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import uuid5
+from lodestone.functions.text import module_from_package, terms_json, uuid5
 from lodestone.plans.scratch import cut
 from lodestone.plans.workers import importable
 
@@ -23,13 +23,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def cosine(a: Column, b: Column, b_norm: Column | None = None) -> Column:
+    """b_norm is b's length, where it is known beforehand."""
+    norm = F.sqrt(dot(a, a)) * (F.sqrt(dot(b, b)) if b_norm is None else b_norm)
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def top_k(points: DataFrame, query: DataFrame, k: int = 10, id_column: str = "vec_id", **equals: str | None) -> DataFrame:
-    """The k points nearest to the query vector by cosine; keyword filters and membership apply before scoring.
+def top_k(points: DataFrame, query: DataFrame, k: int = 10, id_column: str = "vec_id", **equals: str | list[str] | None) -> DataFrame:
+    """The k points nearest to the query vector by cosine; keyword filters (a value, or a list of which any fits) and
+    membership apply before scoring.
 
     query has one row with a column vector (more rows are an error), or any number of rows with query_id and vector: then
     each query gets its own k, in rows that begin with query_id. Each partition keeps its own best k, so only those are
@@ -37,12 +39,12 @@ def top_k(points: DataFrame, query: DataFrame, k: int = 10, id_column: str = "ve
     """
     for column, value in equals.items():
         if value is not None:
-            points = points.where(F.col(column) == value)
+            points = points.where(F.col(column).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
     if "query_id" in query.columns:
         return _top_k_each(points, query.select("query_id", "vector"), k, id_column)
     one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several query vectors need a query_id"))).otherwise(F.first("vector"))
-    q = query.agg(one.alias("__q"), F.count(F.lit(1)).alias("__n")).where("__n > 0").drop("__n")
-    scored = points.crossJoin(F.broadcast(q)).withColumn("score", F.round(cosine(F.col("vector"), F.col("__q")), 6)).drop("__q")  # one row
+    q = query.agg(one.alias("__q"), F.count(F.lit(1)).alias("__n")).where("__n > 0").select("__q", F.sqrt(dot(F.col("__q"), F.col("__q"))).alias("__norm"))
+    scored = points.crossJoin(F.broadcast(q)).withColumn("score", F.round(cosine(F.col("vector"), F.col("__q"), F.col("__norm")), 6)).drop("__q", "__norm")  # one row
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
@@ -110,11 +112,42 @@ def stereotype(labels: Column) -> Column:
     return F.get(F.filter(F.array(*map(F.lit, PRIORITY)), lambda x: F.array_contains(labels, x)), F.lit(0))
 
 
+#: Scores that a point carries, and labels of what has to be migrated.
+SCORES = ("structural_risk", "enhanced_risk", "domain_criticality", "security_sensitivity", "financial_involvement", "business_rule_density")
+LEGACY = ("VaadinView", "VaadinComponent", "VaadinDataBinding")
+
+
+def points(
+    classes: DataFrame, methods: DataFrame, depends: DataFrame, uses: DataFrame, calls: DataFrame, terms: DataFrame,
+    implements: DataFrame, scores: DataFrame, texts: DataFrame,
+) -> DataFrame:
+    """The whole points of an index: chunk, with the text, the scores (0 where unknown), the classes that depend on this
+    one (callers), the interfaces it implements (implementors), its terms as JSON, and what of it has to be migrated.
+
+    texts(fqn, method_id, text) says which chunks there are: a class without a source path, or whose source isn't there,
+    has none. A blank module is derived from the package.
+    """
+    gather = lambda df, key, value, name: df.groupBy(F.col(key).alias("fqn")).agg(F.array_sort(F.collect_set(value)).alias(name))
+    named = uses.join(terms.select("term_id", "display_name"), "term_id").groupBy("fqn").agg(F.array_sort(F.collect_set(F.struct("term_id", "display_name"))).alias("domain_terms"))
+    chunks = chunk(classes, methods, depends, uses, calls).drop("callers")
+    legacy = F.array_intersect("labels", F.array(*map(F.lit, LEGACY)))
+    about = classes.select("fqn", F.coalesce(F.when(F.trim("module") != "", F.col("module")), module_from_package(F.col("package_name"))).alias("module"), legacy.alias("legacy_labels"))
+    out = chunks.drop("module").join(about, "fqn").join(scores.select("fqn", *SCORES), "fqn", "left").na.fill(0.0, list(SCORES))
+    for df, name in ((gather(depends, "dst", "src", "callers"), "callers"), (gather(implements, "src", "dst", "implementors"), "implementors")):
+        out = out.join(df, "fqn", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    out = out.join(named, "fqn", "left").withColumn("domain_terms", terms_json(F.col("domain_terms"))).withColumn("legacy", F.size("legacy_labels") > 0)
+    said = texts.select(F.col("fqn").alias("__fqn"), F.col("method_id").alias("__method"), "text")
+    return out.join(said, (out["fqn"] == said["__fqn"]) & out["method_id"].eqNullSafe(said["__method"])).drop("__fqn", "__method")
+
+
 def chunk(classes: DataFrame, methods: DataFrame, depends: DataFrame, uses: DataFrame, calls: DataFrame) -> DataFrame:
-    """One header chunk per class and one per method, with the neighbours' sorted lists; ids are name-based UUIDs.
+    """One header chunk per class with a source path and one per method, with the neighbours' sorted lists; ids are
+    name-based UUIDs.
 
     Every list is gathered once for all classes instead of by a query per class.
     """
+    if "source_path" in classes.columns:
+        classes = classes.where("source_path is not null")
     gather = lambda df, key, value, name: df.groupBy(F.col(key).alias("fqn")).agg(F.array_sort(F.collect_set(value)).alias(name))
     base = classes.select("fqn", "module", "content_hash", stereotype(F.col("labels")).alias("stereotype"))
     for df, key, value, name in ((depends, "src", "dst", "dependencies"), (uses, "fqn", "term_id", "terms"), (calls, "dst", "src", "callers"), (calls, "src", "dst", "callees")):

@@ -845,6 +845,199 @@ def validation_flags(s, d):
     return validate.report(_graph(s, d), checks).select("name", "severity", "status", "count")
 
 
+# ---- more rows and cases for operators whose first query sees little of them; the SQL has its own literals
+
+
+def _annotated(s, d):
+    c = a.classes(s, d)
+    return c.withColumn("annotations", F.when(F.col("id") % 30 == 7, F.array(F.lit("jakarta.validation.Constraint"))).otherwise(F.col("annotations")))
+
+
+@query("link_rules_annotated", "SELECT DISTINCT fqn, term_id FROM (SELECT fqn, lower(unnest(regexp_extract_all(simple_name, '[A-Z][a-z]+'))) AS term_id FROM cls WHERE regexp_full_match(simple_name, '.*(Validator|Rule|Policy|Constraint|Calculator|Strategy).*') OR id % 30 = 7) WHERE term_id NOT IN ('validator', 'calculator') AND term_id IN (SELECT term_id FROM trm)")
+def link_rules_annotated(s, d):
+    return lexicon.link_rules(_annotated(s, d), a.terms(s, d))
+
+
+@query("term_curate_full", "SELECT term_id, CASE term_id WHEN 'report' THEN 'High' WHEN 'blue' THEN 'Medium' WHEN 'token' THEN 'Low' ELSE criticality END AS criticality, CASE term_id WHEN 'report' THEN 'by hand' WHEN 'blue' THEN '' WHEN 'token' THEN 'x' END AS definition, CASE term_id WHEN 'report' THEN 'Critical' WHEN 'blue' THEN 'Moderate' WHEN 'token' THEN 'None' END AS sensitivity, CASE WHEN term_id IN ('report', 'blue', 'token') THEN 'curated' END AS status, curated OR term_id IN ('report', 'blue', 'token') AS curated FROM trm")
+def term_curate_full(s, d):
+    changes = s.sql("select * from values ('report', 'High', 'by hand'), ('blue', 'Medium', null), ('token', null, 'x'), ('unheard', 'High', '') as t(term_id, criticality, definition)")
+    return lexicon.curate(a.terms(s, d), changes).select("term_id", "criticality", "definition", "sensitivity", "status", "curated")
+
+
+@query("abbreviation_terms", "SELECT 'BU' AS term_id, 'BU — Business Unit' AS display_name, 'seen' AS definition, 'GLOSSARY' AS domain_area UNION ALL SELECT 'ZZ', 'ZZ — Not There', 'unseen', 'GLOSSARY' UNION ALL SELECT ab, concat(ab, ' — ?'), concat('Found in class ', min(nm), ', to be expanded'), 'GLOSSARY' FROM (SELECT concat(upper(substr(c_mktsegment, 1, 2)), 'Class', c_nationkey) AS nm, upper(substr(c_mktsegment, 1, 2)) AS ab FROM customer) WHERE ab NOT IN ('BU', 'BO', 'PO', 'IO') GROUP BY ab")
+def abbreviation_terms(s, d):
+    c = a.read(s, d, "customer").select(F.concat(F.upper(F.substring("c_mktsegment", 1, 2)), F.lit("Class"), F.col("c_nationkey").cast("string")).alias("simple_name"))
+    glossary = s.sql("select * from values ('BU', 'Business Unit', 'seen'), ('ZZ', 'Not There', 'unseen') as t(abbreviation, expansion, evidence)")
+    return lexicon.abbreviation_terms(c, glossary).select("term_id", "display_name", "definition", "domain_area")
+
+
+@query("lexicon_search_hits", "SELECT term_id, usage_count FROM trm WHERE contains(term_id, 'u') AND source_type LIKE 'NLS_%' ORDER BY usage_count DESC, term_id LIMIT 500")
+def lexicon_search_hits(s, d):
+    return lexicon.search(a.terms(s, d), criticality="  ", text="U", nls_only=True).select("term_id", "usage_count")
+
+
+@query("schedule_waves", _SCHED + ", me AS (SELECT DISTINCT x.module AS s, y.module AS t FROM dep JOIN cls x ON x.fqn = src JOIN cls y ON y.fqn = dst WHERE x.module > y.module), dc2 AS (SELECT t AS module, count(*) AS dependents FROM me GROUP BY 1), j2 AS (SELECT g.*, coalesce(dc2.dependents, 0) AS dependents, coalesce(commits, 0) AS commits FROM g LEFT JOIN dc2 USING (module) LEFT JOIN bcom USING (module)), m2 AS (SELECT greatest(max(dependents), 1) AS td, greatest(max(commits), 1) AS tc, max(avg_complexity) AS tx FROM j2), pth AS (SELECT module AS v, 1 AS w FROM g UNION SELECT me.s, w + 1 FROM pth JOIN me ON me.t = pth.v) SELECT module, CAST((SELECT max(w) FROM pth WHERE v = module) AS INT) AS wave, round(0.35*avg_risk + 0.25*dependents/td + 0.2*commits/tc + 0.2*least(ln(1+avg_complexity)/ln(1+tx), 1), 6) AS score FROM j2, m2")
+def schedule_waves(s, d):
+    m = a.classes(s, d).select("fqn", "module")
+    ends = a.depends_on(s, d).join(m.select(F.col("fqn").alias("src"), F.col("module").alias("x")), "src").join(m.select(F.col("fqn").alias("dst"), F.col("module").alias("y")), "dst")
+    return modules.recommend_schedule(_scored(s, d), ends.where("x > y").select("src", "dst"), _brand_commits(s, d)).select("module", "wave", *_r("score"))
+
+
+_KINDS = (
+    ", ek AS (SELECT src, dst FROM dep UNION SELECT src, dst FROM ext UNION SELECT x.fqn, y.fqn FROM cls x JOIN cls y ON y.id = x.id // 3 WHERE x.id % 6 = 0"
+    " UNION SELECT x.fqn, y.fqn FROM cls x JOIN cls y ON y.id = x.id + 1 WHERE x.id % 11 = 0 UNION SELECT fqn, lower(simple_name) FROM cls WHERE id % 7 = 0"
+    " UNION SELECT fqn, concat(fqn, '#m') FROM cls WHERE id % 4 = 0 UNION SELECT concat(x.fqn, '#m'), concat(y.fqn, '#m') FROM cls x JOIN cls y ON y.id = x.id * 2 WHERE x.id % 4 = 0)"
+)
+
+
+@query("cone_all_kinds", _KINDS + f", cone AS (SELECT fqn AS node, 0 AS hop FROM cls WHERE id = {FOCAL} UNION SELECT dst, hop + 1 FROM cone JOIN ek ON src = node WHERE hop < 10) SELECT node, CAST(min(hop) AS INT) AS hop FROM cone WHERE hop > 0 GROUP BY node")
+def cone_all_kinds(s, d):
+    """All kinds of edges that a cone goes along: depends, extends, implements, binds to, maps to a table, declares, calls."""
+    c = a.classes(s, d).select("id", "fqn", "simple_name")
+    to = lambda rows, other: rows.select(F.col("fqn").alias("src"), other.alias("id")).join(c.select("id", F.col("fqn").alias("dst")), "id").select("src", "dst")
+    method = lambda name: F.concat(name, F.lit("#m"))
+    calls = to(c.where("id % 4 = 0"), F.col("id") * 2).select(method("src").alias("src"), method("dst").alias("dst"))
+    edges = a.depends_on(s, d).select("src", "dst")
+    for more in (
+        a.extends(s, d), to(c.where("id % 6 = 0"), F.expr("id div 3")), to(c.where("id % 11 = 0"), F.col("id") + 1), calls,
+        c.where("id % 7 = 0").select(F.col("fqn").alias("src"), F.lower("simple_name").alias("dst")), c.where("id % 4 = 0").select(F.col("fqn").alias("src"), method("fqn").alias("dst")),
+    ):
+        edges = edges.unionByName(more)
+    return graph.dependency_cone(edges, _one(s, d))
+
+
+@query("hop_texts", _CONE + " SELECT node, CASE h WHEN 0 THEN 'focal class' WHEN 1 THEN 'direct dependency (1 hop)' ELSE concat('multi-hop (', h, ' hops)') END AS path FROM (SELECT node, coalesce(min(hop) FILTER (hop > 0), 0) AS h FROM cone GROUP BY node)")
+def hop_texts(s, d):
+    return cone_hops(s, d).select("node", tx.hop_text(F.col("hop")).alias("path"))
+
+
+@query("transitive_complexity_calls", _METHODS + f", up AS (SELECT src AS node, dst AS ancestor, 1 AS depth FROM ext UNION ALL SELECT node, dst, depth + 1 FROM up JOIN ext ON src = ancestor WHERE depth < 10), pr AS (SELECT node AS fqn, ancestor FROM up WHERE ancestor IN (SELECT source FROM {_SRC}) AND NOT EXISTS (SELECT 1 FROM (SELECT c.fqn AS f, p.fqn AS p FROM cls c JOIN cls p ON p.id = c.id // 2 WHERE c.id % 5 = 0 AND c.id > 0) o WHERE o.f = node AND o.p = ancestor)), an AS (SELECT DISTINCT declaring_class AS ancestor, name FROM met), ov AS (SELECT fqn, ancestor, count(*) AS n FROM pr JOIN an USING (ancestor) JOIN met m ON m.declaring_class = fqn AND m.name = an.name GROUP BY 1, 2) SELECT concat(fqn, '#INHERITED#', ancestor) AS action_id, c AS calls, w AS wrapper_calls, x AS complexity, x = 0 AS pure_wrapper, CASE WHEN x <= 0.4 THEN 'PARTIAL' ELSE 'NO' END AS automatable FROM (SELECT *, round(CAST(least(0.3 * coalesce(n, 0) + 0.3 * c + 0.2 * w + CASE WHEN label = 'VaadinDataBinding' THEN 0.2 ELSE 0 END + CASE WHEN label = 'VaadinComponent' THEN 0.2 ELSE 0 END, 1) AS DOUBLE), 6) AS x FROM (SELECT fqn, ancestor, n, label, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS c, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS w FROM pr JOIN cls USING (fqn) LEFT JOIN ov USING (fqn, ancestor)))")
+def transitive_complexity_calls(s, d):
+    """Calls into the framework (also old and new of its types), of wrappers, and classes with actions of their own."""
+    c = a.classes(s, d)
+    called = lambda rows, name: c.where(rows).select(F.col("fqn").alias("src"), F.lit(name).alias("dst"))
+    calls = called("id % 3 = 0", "com.vaadin.ui.A").unionByName(called("id % 2 = 0", "com.vaadin.data.B")).unionByName(called("id % 3 = 0", "com.vaadin.ui.A"))
+    calls = calls.unionByName(called("id % 5 = 0", "com.acme.wrappers.W")).unionByName(called("id % 7 = 0", "com.vaadin.flow.C"))
+    own = a.extends(s, d).join(c.where("id % 5 = 0").select(F.col("fqn").alias("src")), "src", "left_semi").select(F.col("src").alias("fqn"), F.col("dst").alias("source"))
+    methods = _methods(s, d).select(F.col("declaring_class").alias("fqn"), "name")
+    out = rules.transitive_migrations(c, a.extends(s, d), own, c.where("id < 40").select(F.col("fqn").alias("source")), methods, calls, "com.vaadin.", "com.vaadin.flow.", "com.acme.wrappers.")
+    return out.select("action_id", "calls", "wrapper_calls", *_r("complexity"), "pure_wrapper", "automatable")
+
+
+def _inherited(s, d):
+    """Actions of which some come from a wrapper, or through one."""
+    n = F.regexp_extract("source", "[0-9]+$", 0).cast("int")
+    source = F.when(n < 3, F.concat(F.lit("com.acme.wrappers.W"), n.cast("string"))).otherwise(F.col("source"))
+    return a.actions(s, d).withColumn("inherited_from", F.when(F.col("is_inherited") & (n > 14), F.concat(F.lit("com.acme.wrappers.W"), (n % 3).cast("string")))).withColumn("source", source)
+
+
+_INHERITED = ", nact AS (SELECT *, CAST(regexp_extract(source, '[0-9]+$') AS INT) AS n FROM act)"
+
+
+@query("wrapper_counts", _INHERITED + " SELECT count(DISTINCT fqn) FILTER (n < 3) AS affected, count(DISTINCT fqn) FILTER (is_inherited AND n > 14) AS second_layer FROM nact")
+def wrapper_counts(s, d):
+    return rules.wrapper_counts(a.classes(s, d), _inherited(s, d), "com.acme.wrappers.")
+
+
+@query("wrapper_intermediaries", _INHERITED + f" SELECT count(DISTINCT n % 3) AS intermediaries, count(*) > 0 AS has_intermediaries FROM nact WHERE is_inherited AND n > 14 AND fqn = (SELECT fqn FROM cls WHERE id = {FOCAL})")
+def wrapper_intermediaries(s, d):
+    return rules.wrapper_intermediaries(_inherited(s, d), _one(s, d), "com.acme.wrappers.")
+
+
+def _book(s, d):
+    """A rule for every part."""
+    kind = F.when(F.col("p_partkey") % 3 == 0, "NEEDS_MAPPING").otherwise("MAPPED")
+    return a.read(s, d, "part").select(
+        F.format_string("R-%d", "p_partkey").alias("rule_id"), F.concat("p_type", F.lit("."), F.col("p_partkey").cast("string")).alias("source"), F.col("p_type").alias("category"),
+        kind.alias("status"), F.col("p_size").cast("long").alias("usage_count"), F.when(F.col("p_partkey") % 2 == 0, "YES").otherwise("NO").alias("automatable"),
+        F.col("p_partkey").cast("long").alias("pos"), F.lit(True).alias("is_base"),
+    )
+
+
+@query("rule_gaps_all", "SELECT concat(p_type, '.', p_partkey) AS source, p_size AS usage_count FROM part WHERE p_partkey % 3 = 0".replace("p_size AS", "CAST(p_size AS BIGINT) AS"))
+def rule_gaps_all(s, d):
+    return rules.gaps(_book(s, d)).select("source", "usage_count")
+
+
+@query("rule_top_gaps", "SELECT concat(p_type, '.', p_partkey) AS source, CAST(p_size AS BIGINT) AS usage_count FROM part WHERE p_partkey % 3 = 0 AND p_type LIKE 'S%' ORDER BY p_size DESC, concat(p_type, '.', p_partkey) LIMIT 5")
+def rule_top_gaps(s, d):
+    return rules.top_gaps(_book(s, d), "S")
+
+
+@query("rule_filter_all", "SELECT concat('R-', p_partkey) AS rule_id FROM part WHERE p_type = 'PROMO' AND p_partkey % 3 <> 0 AND p_partkey % 2 = 0")
+def rule_filter_all(s, d):
+    return rules.filter_rules(_book(s, d), category="PROMO", status="MAPPED", automatable="YES").select("rule_id")
+
+
+@query("rule_upsert_all", "SELECT concat('R-', p_partkey) AS rule_id, CAST(p_size AS BIGINT) AS usage_count, true AS base FROM part WHERE p_partkey % 10 <> 4 UNION ALL SELECT concat('N-', p_partkey), 1, false FROM part WHERE p_partkey % 10 = 4")
+def rule_upsert_all(s, d):
+    book = _book(s, d)
+    changes = book.where("pos % 10 = 4").withColumn("rule_id", F.format_string("N-%d", "pos")).withColumn("usage_count", F.lit(1).cast("long"))
+    return rules.upsert_rule(book, changes).select("rule_id", "usage_count", F.col("is_base").alias("base"))
+
+
+@query("rule_categories_all", "SELECT p_type AS category, count(*) AS rules, CAST(sum(p_size) AS BIGINT) AS usages FROM part GROUP BY 1")
+def rule_categories_all(s, d):
+    return rules.category_counts(_book(s, d))
+
+
+@query("action_order", "SELECT action_id, CASE automatable WHEN 'NO' THEN 0 WHEN 'PARTIAL' THEN 1 ELSE 2 END AS rank FROM act")
+def action_order(s, d):
+    return rules.by_automatability(a.actions(s, d)).select("action_id", "rank")
+
+
+@query("vector_topk_any", f"SELECT vec_id, concat('m', label) AS module, {_COS} AS score FROM embeddings WHERE label IN (3, 5) ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_any(s, d):
+    return vectors.top_k(a.chunks(s, d), _query_vector(s, d), module=["m3", "m5"]).select("vec_id", "module", "score")
+
+
+_SOURCE_SQL = (
+    "concat('/** Part ', id, ' of the suite. */\n@Service\npublic class ', simple_name, '_', id, ' {\n  private int size', CASE WHEN id % 2 = 0 THEN ';' ELSE ' = 1;' END, '\n  // no; field\n',"
+    " '  public int run(int a) {\n', repeat('    if (a > 1) { help(); }\n', CAST(id % 4 AS INT)), repeat('    for (int i = 0; i < a; i++) { help(); }\n', CAST(id % 3 AS INT)),"
+    " repeat('    while (a > 5) { a--; }\n', CAST(id % 2 AS INT)), '    return a;\n  }\n  void help() { }\n}\n')"
+).replace("\n", "' || chr(10) || '").replace("|| ''", "")
+
+
+def _varied_files(s, d):
+    """A source for every part, with as many branches and loops as its key says."""
+    k = F.col("id")
+    times = lambda text, n: F.repeat(F.lit(text), (k % n).cast("int"))
+    body = F.concat(
+        F.lit("/** Part "), k.cast("string"), F.lit(" of the suite. */\n@Service\npublic class "), "simple_name", F.lit("_"), k.cast("string"), F.lit(" {\n  private int size"),
+        F.when(k % 2 == 0, ";").otherwise(" = 1;"), F.lit("\n  // no; field\n  public int run(int a) {\n"), times("    if (a > 1) { help(); }\n", 4),
+        times("    for (int i = 0; i < a; i++) { help(); }\n", 3), times("    while (a > 5) { a--; }\n", 2), F.lit("    return a;\n  }\n  void help() { }\n}\n"),
+    )
+    return a.classes(s, d).select(F.col("source_path").alias("path"), F.concat(F.lit("package "), "package_name", F.lit(";\n"), body).alias("content"))
+
+
+@query("java_complexity", "SELECT concat(fqn, '#', m) AS method_id, CAST(x AS INT) AS complexity FROM (SELECT fqn, 'run(int)' AS m, 1 + id % 4 + id % 3 + id % 2 AS x FROM cls UNION ALL SELECT fqn, 'help()', 1 FROM cls)")
+def java_complexity(s, d):
+    from lodestone.sources import java
+
+    return java.graph(java.extract(_varied_files(s, d)))["methods"].select("method_id", "complexity")
+
+
+@query("chunk_points", f"{_SCORES}, src AS (SELECT *, concat('package ', package_name, ';', chr(10), {_SOURCE_SQL}) AS content, concat('/** Part ', id, ' of the suite. */') AS doc, CASE WHEN id % 2 = 0 THEN 'private int size;' ELSE 'private int size = 1;' END AS fld FROM sc WHERE id % 9 <> 0)"
+       ", txt AS (SELECT fqn, 'CLASS_HEADER' AS chunk_type, concat('[CLASS: ', simple_name, '] [PACKAGE: ', package_name, ']', chr(10), doc, chr(10), fld) AS text FROM src"
+       " UNION ALL SELECT fqn, 'METHOD', concat('[CLASS: ', simple_name, '] [METHOD: run(int)]', chr(10), rtrim(substr(content, strpos(content, 'run(int a) {') + 11, strpos(content, '  void help') - strpos(content, 'run(int a) {') - 12), chr(10))) FROM src)"
+       " SELECT t.fqn, chunk_type, sha256(text) AS text, c.module, round(enhanced_risk, 6) AS enhanced_risk, round(structural_risk, 6) AS structural_risk, coalesce(label IN ('VaadinView', 'VaadinComponent', 'VaadinDataBinding'), false) AS legacy,"
+       " coalesce((SELECT string_agg(DISTINCT src, '|' ORDER BY src) FROM dep WHERE dst = t.fqn), '') AS callers, coalesce((SELECT string_agg(DISTINCT dst, '|' ORDER BY dst) FROM dep WHERE src = t.fqn), '') AS dependencies,"
+       " coalesce((SELECT string_agg(concat('{', chr(34), 'termId', chr(34), ':', chr(34), term_id, chr(34), ',', chr(34), 'displayName', chr(34), ':', chr(34), display_name, chr(34), '}'), ',' ORDER BY term_id) FROM wrd JOIN trm USING (term_id) WHERE wrd.fqn = t.fqn), '') AS terms FROM txt t JOIN sc c USING (fqn)")
+def chunk_points(s, d):
+    """The points of an index with their whole payload; every ninth class has no source path."""
+    from lodestone.sources import java
+
+    c = _scored(s, d).withColumn("source_path", F.when(F.col("id") % 9 != 0, F.col("source_path")))
+    none = a.extends(s, d).where("false")
+    methods = c.select("fqn", F.concat("fqn", F.lit("#run(int)")).alias("method_id"))
+    texts = java.chunk_texts(c, methods, _varied_files(s, d))
+    out = vectors.points(c.select(*a.classes(s, d).columns), methods, a.depends_on(s, d), a.class_words(s, d), none, a.terms(s, d), none, c, texts)
+    return out.select(
+        "fqn", "chunk_type", F.sha2("text", 256).alias("text"), "module", *_r("enhanced_risk", "structural_risk"), "legacy", F.array_join("callers", "|").alias("callers"),
+        F.array_join("dependencies", "|").alias("dependencies"), F.regexp_replace("domain_terms", r"^\[|\]$", "").alias("terms"),
+    )
+
+
 # ---- streaming and sources, which SQL can't express
 
 

@@ -144,6 +144,68 @@ def method_body(source: str, name: str) -> str:
     return source[m.start() : closing(code, m.end() - 1)].strip() if m else ""
 
 
+def header_text(simple_name: str, package: str, source: str) -> str:
+    """What a class's header chunk says: its name and package, the last Javadoc before its declaration, its fields.
+
+    Fields are the lines with a semicolon between the class's brace and the first line that looks like a method; a text
+    without a declaration gives the first line only.
+    """
+    lines = [f"[CLASS: {simple_name}] [PACKAGE: {package}]"]
+    at = next((i for i in map(source.find, (" class ", " interface ", " enum ")) if i >= 0), -1)
+    if at >= 0:
+        end = source.rfind("*/", 0, at)
+        begin = source.rfind("/**", 0, max(end, 0))
+        if 0 <= begin < end:
+            lines.append(source[begin : end + 2].strip())
+        brace = source.find("{", at)
+        body = [] if brace < 0 else source[brace + 1 :].split("\n")
+        is_method = lambda x: "(" in x and ")" in x and "=" not in x and not x.strip().startswith(("//", "*"))
+        body = body[: next((i for i, x in enumerate(body) if is_method(x)), len(body))]
+        fields = [x for x in body if ";" in x and not x.strip().startswith("//") and not re.search("class |enum |interface ", x)]
+        if any(x.strip() for x in fields):
+            lines.append("\n".join(fields).strip())
+    return "\n".join(lines).strip()
+
+
+def method_text(simple_name: str, signature: str, source: str) -> str:
+    """What a method's chunk says: class, signature and the braces behind the first place where its name is called or made."""
+    name = signature.partition("(")[0]
+    at = source.find(f"{name}(")
+    brace = source.find("{", at) if at >= 0 else -1
+    body = "[source not found]"
+    if brace >= 0:
+        depth, end = 0, brace
+        for m in re.compile("[{}]").finditer(source, brace):
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                end = m.end()
+                break
+        body = source[brace:end].strip()
+    return f"[CLASS: {simple_name}] [METHOD: {signature}]\n{body}".strip()
+
+
+def chunk_texts(classes: DataFrame, methods: DataFrame, sources: DataFrame) -> DataFrame:
+    """classes(fqn, simple_name, package_name, source_path), methods(fqn, method_id), sources(path, content) -> (fqn,
+    method_id, text): the header's text, where method_id is null, and one for each method, of classes whose source is there."""
+    named = classes.where("source_path is not null").select("fqn", "simple_name", "package_name", F.col("source_path").alias("path"))
+    own = methods.groupBy("fqn").agg(F.collect_set("method_id").alias("method_ids"))  # those of one class
+    rows = named.join(sources.where("content is not null").select("path", "content"), "path").join(own, "fqn", "left")
+
+    def run(batches) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for fqn, simple, package, source, ids in zip(pdf["fqn"], pdf["simple_name"], pdf["package_name"], pdf["content"], pdf["method_ids"]):
+                out.append((fqn, None, header_text(simple, package, source)))
+                for i in [] if ids is None else ids:
+                    out.append((fqn, i, method_text(simple, i.partition("#")[2] or i, source)))
+            yield pd.DataFrame(out, columns=["fqn", "method_id", "text"]).astype({"method_id": object})
+
+    importable(classes.sparkSession)
+    return rows.select("fqn", "simple_name", "package_name", "content", "method_ids").mapInPandas(run, "fqn string, method_id string, text string")
+
+
 def extract(files: DataFrame) -> DataFrame:
     """files(path, content) -> rows of SCHEMA; a file that can't be read gives one row of kind error."""
 

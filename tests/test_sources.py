@@ -129,3 +129,106 @@ def test_change_stream(spark, tmp_path):
     assert sorted((r["path"], r["content"]) for r in Snapshots(spark, f"{state}/files").read().collect()) == [("a", "2"), ("c", "1")]
     assert calls == [(0, 2), (1, 2)] and spark.read.json(f"{state}/failures").count() == 2
     assert incremental.progress(q)["batch"] == 1
+
+
+CHUNKED = """package com.acme;
+
+/** Not this one. */
+import x.Y;
+
+/** Keeps
+ * orders. */
+@Service
+public class Orders {
+  private int size;
+  // no; field
+  private String name = call();
+
+  public int run(int a) {
+    if (a > 1) { return 1; }
+    return a;
+  }
+}
+"""
+
+
+def test_chunk_texts(spark):
+    from lodestone.sources import java
+
+    assert java.header_text("Orders", "com.acme", CHUNKED) == "[CLASS: Orders] [PACKAGE: com.acme]\n/** Keeps\n * orders. */\nprivate int size;\n  private String name = call();"
+    assert java.header_text("X", "p", "nothing declared") == "[CLASS: X] [PACKAGE: p]" and java.header_text("X", "p", "a class X") == "[CLASS: X] [PACKAGE: p]"
+    assert java.method_text("Orders", "run(int)", CHUNKED) == "[CLASS: Orders] [METHOD: run(int)]\n{\n    if (a > 1) { return 1; }\n    return a;\n  }"
+    assert java.method_text("Orders", "gone()", CHUNKED).endswith("[source not found]")
+    c = spark.createDataFrame([("a.X", "X", "a", "x.java"), ("a.NoPath", "NoPath", "a", None), ("a.Ghost", "Ghost", "a", "ghost.java"), ("a.Bare", "Bare", "a", "b.java")], "fqn string, simple_name string, package_name string, source_path string")
+    m = spark.createDataFrame([("a.X", "a.X#run(int)"), ("a.X", "a.X#run(int)"), ("a.Ghost", "a.Ghost#g()")], "fqn string, method_id string")
+    f = spark.createDataFrame([("x.java", CHUNKED), ("b.java", ""), ("null.java", None)], "path string, content string")
+    got = sorted(((r["fqn"], r["method_id"]) for r in java.chunk_texts(c, m, f).collect()), key=repr)
+    assert got == [("a.Bare", None), ("a.X", "a.X#run(int)"), ("a.X", None)]
+
+
+def test_points_carry_their_payload(spark):
+    from lodestone.operators import vectors
+    from lodestone.sources import java
+
+    c = spark.createDataFrame([("a.View", "View", "com.acme.shop.ui", None, ["VaadinView", "Service"], "x.java", "h"), ("a.Plain", "Plain", "a", "own", [], "x.java", "h"), ("a.None", "None", "a", "own", [], None, "h")],
+        "fqn string, simple_name string, package_name string, module string, labels array<string>, source_path string, content_hash string")
+    two = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    m = spark.createDataFrame([("a.View", "a.View#run(int)")], "fqn string, method_id string")
+    uses = spark.createDataFrame([("a.View", "t1")], "fqn string, term_id string")
+    terms = spark.createDataFrame([("t1", "Order")], "term_id string, display_name string")
+    scores = spark.createDataFrame([("a.View", 1.5, 2.5, 0.8, 0.6, 0.4, 0.3)], "fqn string, " + ", ".join(f"{x} double" for x in vectors.SCORES))
+    texts = java.chunk_texts(c, m, spark.createDataFrame([("x.java", CHUNKED)], "path string, content string"))
+    rows = vectors.points(c, m, two([("a.Plain", "a.View")]), uses, two([("a.View", "a.Target")]), terms, two([("a.View", "a.IFoo")]), scores, texts).collect()
+    by = {(r["fqn"], r["chunk_type"]): r for r in rows}
+    assert sorted(by) == [("a.Plain", "CLASS_HEADER"), ("a.View", "CLASS_HEADER"), ("a.View", "METHOD")] and len(rows) == 3
+    v = by["a.View", "METHOD"]
+    assert [v[x] for x in vectors.SCORES] == [1.5, 2.5, 0.8, 0.6, 0.4, 0.3] and v["legacy"] and v["legacy_labels"] == ["VaadinView"]
+    assert (v["callers"], v["implementors"], v["callees"], v["module"]) == (["a.Plain"], ["a.IFoo"], ["a.Target"], "ui")
+    assert v["domain_terms"] == '[{"termId":"t1","displayName":"Order"}]' and v["header_id"] == by["a.View", "CLASS_HEADER"]["point_id"] and v["text"].startswith("[CLASS: View] [METHOD: run(int)]")
+    p = by["a.Plain", "CLASS_HEADER"]
+    assert (p["enhanced_risk"], p["legacy"], p["domain_terms"], p["module"], p["dependencies"]) == (0.0, False, "[]", "own", ["a.View"])
+
+
+def test_context_tells_what_failed_and_is_cut(spark):
+    from lodestone.operators import retrieve
+
+    one = lambda n, cols="hop int, node string": lambda: spark.createDataFrame([(i, f"node{i:04d}") for i in range(n)], cols)
+    chunks = lambda: spark.createDataFrame([(i, "x" * 397) for i in range(1, 9)], "rank int, text string")
+
+    def fails():
+        raise RuntimeError("the store is away\nand more")
+
+    c = retrieve.assemble({"cone": one(3), "risk": one(0), "terms": one(0), "rules": fails, "chunks": chunks}, budget=10_000)
+    assert c.warnings == [("risk", "nothing found for risk"), ("rules", "the store is away")] and c.completeness == 0.7 and not c.truncated
+    assert c.parts.keys() == {"cone", "risk", "terms", "chunks"} and c.parts["chunks"].count() == 8
+    c = retrieve.assemble({"cone": one(3), "chunks": chunks}, budget=500)
+    kept = sorted(r["rank"] for r in c.parts["chunks"].collect())
+    own, cone = len('{"rank":1,"text":"' + "x" * 397 + '"}'), 3 * len('{"hop":0,"node":"node0000"}') + 4
+    total, n = (8 * own + 9) // 4 + cone // 4, 8
+    while total > 500:
+        total, n = total - own // 4, n - 1
+    assert kept == list(range(1, n + 1)) and c.truncated and c.truncated_items == 8 - n
+    c = retrieve.assemble({"cone": one(120), "chunks": chunks}, budget=100)
+    assert c.truncated_items == 8 and c.parts["chunks"].count() == 0 and c.parts["cone"].count() == retrieve.CONE_NODES
+
+
+def test_changes_are_applied_to_a_copy(spark, tmp_path):
+    from lodestone.operators import rules
+
+    files = spark.createDataFrame([("a.java", "import old.T;\nclass A { T t; }\n"), ("b.java", "class B { }\n")], "path string, content string")
+    renames = spark.createDataFrame([("a.java", "old.T", "fresh.U"), ("b.java", "old.T", "fresh.U")], "path string, old string, new string")
+    got = rules.apply_changes(files, renames, f"{tmp_path}/out").collect()
+    assert [r["path"] for r in got] == ["a.java"] and "+import fresh.U;" in got[0]["diff"]
+    assert [r["content"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["import fresh.U;\nclass A { U t; }\n"]
+    a = spark.createDataFrame([("1", "s", "YES"), ("2", "s", "NO"), ("3", "a", "PARTIAL")], "action_id string, source string, automatable string")
+    assert [r["action_id"] for r in rules.by_automatability(a).collect()] == ["2", "3", "1"]
+
+
+def test_link_words_and_percent(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import text as tx
+
+    d = spark.createDataFrame([("XMLPriceCalculatorDTO", 0.125), ("Go4It", 1.0)], "name string, share double")
+    got = d.select(tx.link_words(F.col("name")), tx.camel_words(F.col("name")), tx.percent(F.col("share"))).collect()
+    assert [tuple(r) for r in got] == [(["xml", "price", "dto"], ["XML", "Price", "Calculator", "DTO"], "12.5%"), (["go4it"], ["Go4", "It"], "100.0%")]
