@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.query,
         "op9_licences": licences.query,
         "op10_html_text": html_text.query,
+        # op5 once more, over a table that has markup languages and address suffixes
+        "pages_language": language.pages_query,
     }
 
 

@@ -200,6 +200,56 @@ def test_pages_bring_markup_and_suffix_as_evidence(spark, tmp_path):
     assert {i: got[i] for i in (0, 1, 100, 101, 102, 103)} == {0: "en", 1: "fr", 100: "fr", 101: "en", 102: "fr", 103: "en"}
 
 
+def plain_language(rows):
+    """(id, language, confidence) from the definition, with every row in the fit sample."""
+    import math
+    from collections import Counter
+
+    def codes(text):
+        x = b"  " + text.lower().encode() + b"  "
+        return [((((a << 16) | (b << 8) | c) * 2654435761) & 0xFFFFFFFF) >> 16 for a, b, c in zip(x, x[1:], x[2:])]
+
+    names = sorted({r["declared"] for r in rows if r["declared"] and r["text"]})
+    counts = {n: Counter(c for r in rows if r["declared"] == n and r["text"] for c in codes(r["text"])) for n in names}
+    size = {n: sum(counts[n].values()) + language.SMOOTHING * language.BUCKETS for n in names}
+    mean = lambda text, n: sum(math.log((counts[n][c] + language.SMOOTHING) / size[n]) for c in codes(text)) / len(codes(text))
+    ll = {r["id"]: [mean(r["text"] or "", n) for n in names] for r in rows}
+    letters = {r["id"]: any(map(str.isalpha, r["text"] or "")) for r in rows}
+    best = {i: x.index(max(x)) for i, x in ll.items()}
+    host, suffix, whole = Counter(), Counter(), Counter()
+    for r in rows:
+        if letters[r["id"]]:
+            for c, key in ((host, (r["suffix"], r["host"], best[r["id"]])), (suffix, (r["suffix"], best[r["id"]])), (whole, best[r["id"]])):
+                c[key] += 1
+    k, out = range(len(names)), []
+    top = [(whole[i] + 1) / (sum(whole.values()) + len(names)) for i in k]
+    for r in rows:
+        s, h = r["suffix"], r["host"]
+        s_sum, h_sum = sum(suffix[s, i] for i in k), sum(host[s, h, i] for i in k)
+        above = [(suffix[s, i] + language.SUFFIX_STRENGTH * top[i]) / (s_sum + language.SUFFIX_STRENGTH) for i in k]
+        prior = [(host[s, h, i] + language.HOST_STRENGTH * above[i]) / (h_sum + language.HOST_STRENGTH) for i in k] if h_sum else top
+        said = [0.0] * len(names)
+        if r["declared"] in names:
+            said = [math.log(language.DECLARED_RIGHT if n == r["declared"] else (1 - language.DECLARED_RIGHT) / (len(names) - 1)) for n in names]
+        post = [x * min(len(r["text"] or ""), language.TEXT_WEIGHT) + a + math.log(p) for x, a, p in zip(ll[r["id"]], said, prior)]
+        e = [math.exp(x - max(post)) for x in post]
+        out.append((r["id"], names[post.index(max(post))] if letters[r["id"]] else "und", round(1 / sum(e), 6) if letters[r["id"]] else 0.0))
+    return sorted(out)
+
+
+def test_language_against_brute_force(spark):
+    r = random.Random(12)
+    words = {"en": ["the", "thing", "with", "other"], "de": ["der", "schön", "nicht", "auch"], "fr": ["le", "être", "avec", "aussi"]}
+    rows = []
+    for i in range(90):
+        n = r.choice(list(words))
+        text = r.choice([None, "", "12", "q"]) if i % 15 == 0 else " ".join(r.choice(words[n if r.random() < 0.8 else r.choice(list(words))]) for _ in range(r.randint(1, 12)))
+        rows.append({"id": i, "text": text, "declared": r.choice([n, n, None, "en", "xx" if not text else n]), "host": f"h{r.randrange(4)}", "suffix": r.choice(["com", "fr"])})
+    got = language.identify(spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string"), fit_rows=10_000)
+    got, want = sorted((x["id"], x["language"], round(x["confidence"], 6)) for x in got.collect()), plain_language(rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 2e-5 for a, b in zip(got, want))
+
+
 def test_blocks_of_languages_change_nothing(spark, monkeypatch):
     rows = language.document_rows(spark.read.parquet(f"{SF}/documents.parquet"))
     whole = sorted(map(tuple, language.identify(rows).collect()))
