@@ -237,18 +237,48 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS, blo
 
     Null text counts as empty and has no ids. Repeated rows come out repeated, other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    long = rows.where(F.length("text") > chunk_chars)
+    short_batches(docs.sparkSession)
+    rows = _rows(docs)
 
     def short(batches) -> Iterator:
-        import pyarrow as pa
+        model = Model(model_path)
+        for batch in batches:
+            yield _whole(model, batch)
+
+    short_rows = rows.where(F.length("text") <= chunk_chars).mapInArrow(short, "doc_id long, n_chunks int, ids array<int>")
+    return short_rows.unionByName(_encode_long(rows.where(F.length("text") > chunk_chars), model_path, chunk_chars, block_chunks))
 
+
+def round_trip(docs: DataFrame, model_path: str, with_ids: bool = False, chunk_chars: int = CHUNK_CHARS, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+    """decode(encode(docs)), short documents in one Python step."""
+    short_batches(docs.sparkSession)
+    rows = _rows(docs)
+
+    def short(batches) -> Iterator:
         model = Model(model_path)
         for batch in batches:
-            found = [model.whole(marked(x)) if x else [] for x in batch.column("text").to_pylist()]
-            n = pa.array([int(len(x) > 0) for x in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "n_chunks", "ids"])
+            yield _decoded(model, _whole(model, batch), with_ids)
+
+    long = _encode_long(rows.where(F.length("text") > chunk_chars), model_path, chunk_chars, block_chunks)
+    return rows.where(F.length("text") <= chunk_chars).mapInArrow(short, _decoded_schema(with_ids)).unionByName(decode(long, model_path, with_ids))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _whole(model: Model, batch):
+    """The ids of short texts, each one chunk."""
+    import pyarrow as pa
+
+    found = [model.whole(marked(x)) if x else [] for x in batch.column("text").to_pylist()]
+    n = pa.array([int(len(x) > 0) for x in found], pa.int32())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "n_chunks", "ids"])
+
+
+def _encode_long(long: DataFrame, model_path: str, chunk_chars: int, block_chunks: int) -> DataFrame:
+    """encode for texts of more than a chunk."""
+    spark = long.sparkSession
 
     def split(batches) -> Iterator:
         import pyarrow as pa
@@ -271,7 +301,6 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS, blo
                 )
                 key += 1
 
-    short_batches(spark)
     chunks = store(
         long.mapInArrow(split, "key long, doc_id long, no int, n int, before string, core string, after string, free boolean, ends_free boolean"),
         "chunks",
@@ -315,39 +344,39 @@ def encode(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS, blo
     joined = traced.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.first("n").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts")
     )
-    short_batches(spark)
-    return (
-        rows.where(F.length("text") <= chunk_chars)
-        .mapInArrow(short, "doc_id long, n_chunks int, ids array<int>")
-        .unionByName(joined.select("doc_id", "n_chunks", F.flatten(F.col("parts.ids")).alias("ids")))
-    )
+    return joined.select("doc_id", "n_chunks", F.flatten(F.col("parts.ids")).alias("ids"))
 
 
 def decode(encoded: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """encoded(doc_id, n_chunks, ids) -> doc_id, n_chunks, n_pieces, ids_crc32 (of little-endian uint32), decoded_sha256 of
     the text that the ids give, and the ids themselves if with_ids; no ids give the empty text."""
-    extra = "ids array<int>, " if with_ids else ""
 
     def run(batches) -> Iterator:
-        import hashlib
-
-        import numpy as np
-        import pyarrow as pa
-
         model = Model(model_path)
         for batch in batches:
-            column = batch.column("ids")
-            values, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
-            parts = [values[a:b] for a, b in zip(bounds, bounds[1:])]
-            decoded = [model.sp.decode(x.tolist()) if len(x) else "" for x in parts]
-            arrays = [
-                batch.column("doc_id"), batch.column("n_chunks"), pa.array([len(x) for x in parts], pa.int64()), *([column] if with_ids else []),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_chunks", "n_pieces", *(["ids"] if with_ids else []), "ids_crc32", "decoded_sha256"])
+            yield _decoded(model, batch, with_ids)
+
+    return encoded.mapInArrow(run, _decoded_schema(with_ids))
+
+
+def _decoded_schema(with_ids: bool) -> str:
+    return f"doc_id long, n_chunks int, n_pieces long, {'ids array<int>, ' if with_ids else ''}ids_crc32 long, decoded_sha256 string"
+
+
+def _decoded(model: Model, batch, with_ids: bool):
+    import hashlib
+
+    import pyarrow as pa
 
-    return encoded.mapInArrow(run, f"doc_id long, n_chunks int, n_pieces long, {extra}ids_crc32 long, decoded_sha256 string")
+    column = batch.column("ids")
+    values, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    parts = [values[a:b] for a, b in zip(bounds, bounds[1:])]
+    digests = [hashlib.sha256(model.sp.decode(x.tolist()).encode() if len(x) else b"").hexdigest() for x in parts]
+    arrays = [
+        batch.column("doc_id"), batch.column("n_chunks"), pa.array([len(x) for x in parts], pa.int64()), *([column] if with_ids else []),
+        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64()), pa.array(digests, pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_chunks", "n_pieces", *(["ids"] if with_ids else []), "ids_crc32", "decoded_sha256"])
 
 
 def _path() -> str:
@@ -357,9 +386,9 @@ def _path() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(table(spark, sf_dir, "documents"), _path()), _path())
+    return round_trip(table(spark, sf_dir, "documents"), _path())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded corpus: doc_id, ids and their digests."""
-    return decode(encode(docs, _path()), _path(), with_ids=True)
+    return round_trip(docs, _path(), with_ids=True)

@@ -45,6 +45,7 @@ def test_scan_is_associative():
 def test_spark_encoding_and_decoding(spark, docs, awkward, model):
     for size in (50, 16_384):
         out = pieces.decode(pieces.encode(docs, PATH, size), PATH, with_ids=True).collect()
+        assert sorted(map(repr, pieces.round_trip(docs, PATH, True, size).collect())) == sorted(map(repr, out))
         assert len(out) == len(awkward)
         by = {}
         for r in out:
