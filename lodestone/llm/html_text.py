@@ -28,7 +28,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose contents aren't text of the page; script and style run to the end of the page if nothing ends them.
-SILENT = frozenset("title noscript template svg iframe object canvas select textarea button audio video math".split())
+SILENT = frozenset("title noscript template svg iframe object canvas select textarea button audio video annotation annotation-xml".split())
 #: Silent elements that can't hold one of their kind: a second start tag shows that the first was left open.
 _FLAT = frozenset("title iframe select textarea button".split())
 #: A start tag of the key ends an open element of the values, up to the nearest of the last set.

@@ -423,6 +423,22 @@ def test_html_open_elements_swallow_nothing(page, want):
     assert [t for _, t in html_text.parse(page)[1]] == want
 
 
+def test_html_keeps_formulas():
+    page = "<article><p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding='application/x-tex'>no</annotation></math> be it.</p></article>"
+    assert [t for _, t in html_text.parse(page)[1]] == ["Let x+1 be it."]
+
+
+def test_html_takes_a_very_long_page():
+    page = "<html><body><article>" + "<p>Some words of a paragraph, and more of them.</p>" * 20_000 + "</article></body></html>"
+    assert html_text.extract_many([page], html_text.model())[0].count("\n") == 19_999
+
+
+def test_licences_of_a_very_long_text():
+    text = "plain words " * 200_000 + "All rights reserved. " + "more words " * 200_000 + "cc by"
+    n, base, first, last, labels, _, _ = licences.scan(text.encode(), licences.automaton())
+    assert (n, base, first, last, labels) == (800_005, 2, 400_000, 800_003, "cc-by,reserved")
+
+
 def test_html_text_without_a_block_stays():
     got = html_text.extract_many(["plain <b>text</b>", "<html><head><title>t</title>plain text", "<!-- x -->"], html_text.model())
     assert got == ["plain text", "plain text", ""]
