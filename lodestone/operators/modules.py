@@ -94,7 +94,7 @@ def pilot_recommend(scored: DataFrame, limit: int = 5, least: int = 5) -> DataFr
     score = F.col("legacy_count") / F.col("class_count") * 0.4 + F.col("risk_diversity") * 0.3 + F.when(ideal, 0.3).otherwise(0.0)
     why = F.concat(
         F.format_string("%d of %d classes are to be migrated; risk deviates by %.3f; ", "legacy_count", "class_count", "risk_diversity"),
-        F.when(ideal, "a good size for a pilot").otherwise("a pilot had better have 15 to 40 classes"),
+        F.when(ideal, "an ideal size for a pilot").otherwise("a pilot had better have 15 to 40 classes"),
     )
     return g.withColumn("score", F.round(score, 9)).withColumn("rationale", why).orderBy(F.desc("score"), "module").limit(limit)
 
