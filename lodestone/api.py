@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, lexicon, merge, modules, retrieve, risk, rules, validate, vectors
+from lodestone.plans import scratch
+from lodestone.sources import java
 
 
 class NotFound(KeyError):
@@ -103,8 +105,9 @@ class Engine:
     def terms_of(self, fqn: str) -> DataFrame:
         return lexicon.terms_of_class(self.terms, self.uses, fqn)
 
-    def curate_term(self, term_id: str, criticality: str) -> Engine:
-        change = self.spark.createDataFrame([(term_id, criticality)], "term_id string, criticality string")
+    def curate_term(self, term_id: str, criticality: str, definition: str | None = None, synonyms: list[str] | None = None) -> Engine:
+        """A definition or synonyms that aren't given become empty, as in the service whose questions these are."""
+        change = self.spark.createDataFrame([(term_id, criticality, definition, synonyms)], "term_id string, criticality string, definition string, synonyms array<string>")
         return replace(self, terms=lexicon.curate(self.terms, change))
 
     def ingest_documents(self, sections: DataFrame) -> DataFrame:
@@ -126,6 +129,13 @@ class Engine:
         calls = self.methods.select(F.col("method_id").alias("src"), F.col("method_id").alias("dst")).where("false")
         return vectors.chunk(self.classes, self.methods.select(F.col("declaring_class").alias("fqn"), "method_id"), self.depends, self.uses, calls)
 
+    def index_points(self, sources: DataFrame, calls: DataFrame | None = None, implements: DataFrame | None = None) -> DataFrame:
+        """The points of an index with texts from sources(path, content); calls and implements are (src, dst) of classes."""
+        none = self.extends.select("src", "dst").where("false")
+        methods = self.methods.select(F.col("declaring_class").alias("fqn"), "method_id")
+        texts = java.chunk_texts(self.classes, methods, sources)
+        return vectors.points(self.classes, methods, self.depends, self.uses, none if calls is None else calls, self.terms, none if implements is None else implements, self.scored, texts)
+
     def reindex(self, stored: DataFrame, current: DataFrame) -> DataFrame:
         return vectors.reindex_diff(stored, current)
 
@@ -211,15 +221,28 @@ class Engine:
         return rules.coverage(self.classes, self.actions)
 
     def preview(self, sources: DataFrame, fqn: str | None = None, module: str | None = None) -> DataFrame:
-        """sources(path, content) rewritten by the automatable type and package changes of a class or module, with diffs;
-        applying them is writing the column after."""
+        """sources(path, content) rewritten by the automatable type and package changes of a class or module, with diffs."""
+        return rules.rewrite(sources, self._renames(fqn, module))
+
+    def apply(self, sources: DataFrame, path: str, fqn: str | None = None, module: str | None = None) -> DataFrame:
+        """preview, with the files that change written as a table at path; their (path, diff)."""
+        return rules.apply_changes(sources, self._renames(fqn, module), path)
+
+    def _renames(self, fqn: str | None, module: str | None) -> DataFrame:
         own = self.classes
         for column, value in (("fqn", fqn), ("module", module)):
             if value:
                 own = own.where(F.col(column) == value)
         fit = self.actions.where(F.col("automatable").isin("YES") & F.col("action_type").isin("CHANGE_TYPE", "CHANGE_PACKAGE"))
         pairs = fit.join(own.select("fqn", F.col("source_path").alias("path")), "fqn").join(self.book.select("source", F.col("target").alias("new")), "source")
-        return rules.rewrite(sources, pairs.select("path", F.col("source").alias("old"), "new").distinct())
+        return pairs.select("path", F.col("source").alias("old"), "new").distinct()
+
+    def top_gaps(self, begins: str = "") -> DataFrame:
+        return rules.top_gaps(self.book, begins)
+
+    def release(self) -> None:
+        """Delete the tables that traversals and checks have written so far; plans that read them can't run any more."""
+        scratch.release(self.spark)
 
     def rules_by(self, **filters) -> DataFrame:
         return rules.filter_rules(self.book, **filters)

@@ -50,3 +50,21 @@ def test_changes(spark, engine):
     assert left.classes.count() == engine.classes.count() - 1 and left.depends.join(gone, F.col("dst") == F.col("fqn")).count() == 0
     src = engine.classes.where("id < 50").select(F.col("source_path").alias("path"), F.lit("import com.vaadin.ui.T4;\nclass A { T4 x; }").alias("content"))
     assert set(engine.preview(src).where("diff <> ''").select("after").distinct().toPandas().after) <= {"import new.T4;\nclass A { T4 x; }"}
+
+
+def test_whole_context_and_points(spark, engine):
+    fqn = engine.classes.where("id = 17").first()["fqn"]
+    v = engine.points.where("vec_id = 0").select("vector")
+    c = engine.whole_context(fqn, v)
+    assert c.parts.keys() == {"structure", "inheritance", "cone", "risk", "terms", "rules", "chunks"} and not c.warnings and c.completeness == 1.0
+    small = engine.whole_context(fqn, v, budget=50)
+    assert small.truncated and small.truncated_items == c.parts["chunks"].count() and small.parts["chunks"].count() == 0
+    gone = engine.whole_context("no.Such", v)
+    assert {name for name, _ in gone.warnings} == {"cone", "risk"} and gone.completeness == 0.25
+    src = engine.classes.where("id < 20").select(F.col("source_path").alias("path"), F.lit("class A { int x; }").alias("content"))
+    points = engine.index_points(src)
+    assert points.where("chunk_type = 'CLASS_HEADER'").count() == src.count() and points.where("text is null").count() == 0
+    t = engine.curate_term("token", "High", "by hand").terms.where("term_id = 'token'").first()
+    assert (t["definition"], t["sensitivity"], t["status"], t["curated"], t["synonyms"]) == ("by hand", "Critical", "curated", True, [])
+    assert engine.top_gaps().count() == 2
+    engine.release()
