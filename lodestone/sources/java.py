@@ -12,16 +12,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.workers import importable
+from lodestone.plans.workers import importable, spread
 
 SCHEMA = "kind string, id string, owner string, name string, value string, extra array<string>, number int, path string"
-_CLASS = re.compile(r"((?:@[\w.]+(?:\([^)]*\))?\s*)*)((?:(?:public|protected|private|abstract|final|static)\s+)*)(class|interface|enum)\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.]+)(?:<[^{]*?>)?)?(?:\s+(?:implements|extends)\s+([\w.,<>\s]+?))?\s*\{")
-_METHOD = re.compile(r"((?:@[\w.]+(?:\((?:[^()]|\([^)]*\))*\))?\s*)*)((?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*)(?:<[^>]+>\s+)?([\w.<>\[\], ?]+?\s+)?(\w+)\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:throws\s+[\w.,\s]+)?(\{|;)")
-_FIELD = re.compile(r"((?:@[\w.]+(?:\([^)]*\))?\s*)*)((?:(?:private|protected|public|static|final|transient|volatile)\s+)+)([\w.]+(?:<[^;=]*>)?(?:\[\])?)\s+(\w+)\s*(?:=[^;]*)?;")
+#: Each pattern begins with a look at what any match of it has to begin with, so that most places are passed at once.
+_CLASS = re.compile(r"(?=[@pafscie])((?:@[\w.]+(?:\([^)]*\))?\s*)*)((?:(?:public|protected|private|abstract|final|static)\s+)*)(class|interface|enum)\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.]+)(?:<[^{]*?>)?)?(?:\s+(?:implements|extends)\s+([\w.,<>\s]+?))?\s*\{")
+_METHOD = re.compile(r"(?=@|[\w.<>\[\], ?\s]*+(?<=[\w\s])\(|[\w\s]*<)((?:@[\w.]+(?:\((?:[^()]|\([^)]*\))*\))?\s*)*)((?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*)(?:<[^>]+>\s+)?([\w.<>\[\], ?]+?\s+)?(\w+)\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:throws\s+[\w.,\s]+)?(\{|;)")
+_FIELD = re.compile(r"(?=[@psftv])((?:@[\w.]+(?:\([^)]*\))?\s*)*)((?:(?:private|protected|public|static|final|transient|volatile)\s+)+)([\w.]+(?:<[^;=]*>)?(?:\[\])?)\s+(\w+)\s*(?:=[^;]*)?;")
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "new", "else", "throw", "try", "synchronized", "super", "this", "do", "assert"}
 #: What adds a path through a method; && and || don't.
-_BRANCH = re.compile(r"\b(?:if|while|for|catch)\b\s*\(|\bdo\b\s*\{|\bcase\b[^:]*:|(?<![<,])\?(?![>,\s]*[>,])[^:;]*:")
+_BRANCH = re.compile(r"(?=[iwfcd?])(?:\b(?:if|while|for|catch)\b\s*\(|\bdo\b\s*\{|\bcase\b[^:]*:|(?<![<,])\?(?![>,\s]*[>,])[^:;]*:)")
 _WRITES = ("persist", "merge", "remove", "save", "saveAll", "saveAndFlush", "delete", "deleteAll", "deleteById", "executeUpdate", "flush")
+_WRITING = re.compile(rf"\.\s*(?:{'|'.join(_WRITES)})\s*\(")
 _SKIPPED = ("java.lang", "java.util", "java.io", "java.nio")
 #: Types that need no import.
 _LANG = frozenset("Boolean Byte Character Class Double Enum Error Exception Float Integer Iterable Long Number Object Runnable Short String StringBuilder Thread Throwable Void".split())
@@ -114,7 +116,7 @@ def parse(path: str, source: str) -> list[tuple]:
             ways = 1 + len(_BRANCH.findall(text))
             raw = source[c.end() + m.start() : c.end() + stop]
             writes = int(bool(re.search(r"@Modifying\b", m[1] or ""))) or int(bool(re.search(r"@Query\s*\([^)]*\"\s*(?:update|delete|insert)", raw, re.I)))
-            writes += int(any(re.search(rf"\.\s*{w}\s*\(", text) for w in _WRITES))
+            writes += int(bool(_WRITING.search(text)))
             methods.append(m[4])
             rows.append(("method", method, fqn, m[4], re.sub(r"^(?:(?:public|protected|private|static|final|abstract|synchronized|default)\b\s*)+", "", (m[3] or "").strip()), [str(writes), "constructor" if made else "method"], ways, path))
             rows += [("call", method, fqn, x, "", [], None, path) for x in sorted(set(re.findall(r"(?<![\w@])(\w+)\s*\(", text)) - _NOT_METHODS) if not x[:1].isupper()]
@@ -203,29 +205,28 @@ def chunk_texts(classes: DataFrame, methods: DataFrame, sources: DataFrame) -> D
             yield pd.DataFrame(out, columns=["fqn", "method_id", "text"]).astype({"method_id": object})
 
     importable(classes.sparkSession)
-    return rows.select("fqn", "simple_name", "package_name", "content", "method_ids").mapInPandas(run, "fqn string, method_id string, text string")
+    return spread(rows.select("fqn", "simple_name", "package_name", "content", "method_ids"), "fqn").mapInPandas(run, "fqn string, method_id string, text string")
 
 
 def extract(files: DataFrame) -> DataFrame:
     """files(path, content) -> rows of SCHEMA; a file that can't be read gives one row of kind error."""
 
     def run(batches) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        columns = ["kind", "id", "owner", "name", "value", "extra", "number", "path"]
-        for pdf in batches:
+        schema = pa.schema([(x, {"extra": pa.list_(pa.string()), "number": pa.int32()}.get(x, pa.string())) for x in ("kind", "id", "owner", "name", "value", "extra", "number", "path")])
+        for batch in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
                     rows += parse(path, content or "")
                 except (IndexError, ValueError, RecursionError) as error:
                     rows.append(("error", path, path, type(error).__name__, str(error)[:200], [], None, path))
-            out = pd.DataFrame(rows, columns=columns)
-            out["number"] = out["number"].astype("Int32")
-            yield out
+            columns = zip(*rows) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     importable(files.sparkSession)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return spread(files.select("path", "content"), "path", "content").mapInArrow(run, SCHEMA)
 
 
 def graph(rows: DataFrame) -> dict[str, DataFrame]:

@@ -232,3 +232,12 @@ def test_link_words_and_percent(spark):
     d = spark.createDataFrame([("XMLPriceCalculatorDTO", 0.125), ("Go4It", 1.0)], "name string, share double")
     got = d.select(tx.link_words(F.col("name")), tx.camel_words(F.col("name")), tx.percent(F.col("share"))).collect()
     assert [tuple(r) for r in got] == [(["xml", "price", "dto"], ["XML", "Price", "Calculator", "DTO"], "12.5%"), (["go4it"], ["Go4", "It"], "100.0%")]
+
+
+def test_sources_are_dealt_to_many_tasks(spark):
+    from lodestone.sources import java
+
+    files = spark.createDataFrame([(f"f{i}", f"class C{i} {{ void m() {{ if (a) {{ }} }} }}") for i in range(40)], "path string, content string").coalesce(1)
+    rows = java.extract(files)
+    assert rows.rdd.getNumPartitions() >= 4
+    assert sorted(r["number"] for r in rows.where("kind = 'method'").collect()) == [2] * 40
