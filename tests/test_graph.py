@@ -129,6 +129,14 @@ def test_transitive_migrations(spark):
     assert rules.transitive_migrations(c, ext, done, rule, methods, calls, "com.vaadin.", "com.vaadin.flow.").count() == 0
 
 
+def test_imports_are_not_shuffled_by_common_names(spark):
+    i = spark.createDataFrame([(f"c{k}", f"com.vaadin.ui.T{k % 2}") for k in range(50)], "fqn string, import_name string")
+    r = spark.createDataFrame([("com.vaadin.ui.T0", "new.T0", "CHANGE_TYPE", "YES", "MAPPED", "TYPE", 0)], "source string, target string, action_type string, automatable string, status string, category string, pos int")
+    df = rules.classify_imports(i, r, "com.vaadin.", "com.vaadin.flow.")
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["import_name"], x["target"]) for x in df.collect()) == [("com.vaadin.ui.T0", "new.T0")] * 25 + [("com.vaadin.ui.T1", "Unknown")] * 25
+
+
 def test_classify_imports_in_order(spark):
     r = spark.createDataFrame(
         [("javax.a.B", "X", "t.B", "CHANGE_TYPE", "PARTIAL", "MAPPED", 0), ("javax.", "PACKAGE", "jakarta.", "CHANGE_PACKAGE", "YES", "MAPPED", 1), ("com.vaadin.N", "X", "t", "CHANGE_TYPE", "YES", "NEEDS_MAPPING", 2)],
