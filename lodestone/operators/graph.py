@@ -132,7 +132,7 @@ def fan_in_out(classes: DataFrame, depends: DataFrame) -> DataFrame:
     incoming = depends.groupBy(F.col("dst").alias("fqn")).agg(F.count(F.lit(1)).alias("fan_in"))
     outgoing = depends.groupBy(F.col("src").alias("fqn")).agg(F.count(F.lit(1)).alias("fan_out"))
     return (
-        classes.select("fqn").join(incoming, "fqn", "left").join(outgoing, "fqn", "left")
+        classes.select("fqn").join(incoming.hint("merge"), "fqn", "left").join(outgoing.hint("merge"), "fqn", "left")
         .select("fqn", F.coalesce("fan_in", F.lit(0)).cast("long").alias("fan_in"), F.coalesce("fan_out", F.lit(0)).cast("long").alias("fan_out"))
     )
 

@@ -96,7 +96,8 @@ def scores(classes: DataFrame, depends: DataFrame, uses: DataFrame, terms: DataF
         level.alias("domain_criticality"), F.max(_hit(money)).alias("term_hit")
     )
     by_rule = rules.groupBy("fqn").agg(F.count(F.lit(1)).alias("rule_count"))
-    joined = classes.join(fan_in_out(classes, depends), "fqn").join(by_term, "fqn", "left").join(by_rule, "fqn", "left")
+    # a row for each class on both sides: never a broadcast, however small Spark takes it for
+    joined = classes.hint("merge").join(fan_in_out(classes, depends), "fqn").join(by_term.hint("merge"), "fqn", "left").join(by_rule.hint("merge"), "fqn", "left")
     cc = F.coalesce("complexity_sum", F.lit(0))
     base = joined.select(
         *classes.columns, "fan_in", "fan_out",

@@ -132,12 +132,12 @@ def points(
     chunks = chunk(classes, methods, depends, uses, calls).drop("callers")
     legacy = F.array_intersect("labels", F.array(*map(F.lit, LEGACY)))
     about = classes.select("fqn", F.coalesce(F.when(F.trim("module") != "", F.col("module")), module_from_package(F.col("package_name"))).alias("module"), legacy.alias("legacy_labels"))
-    out = chunks.drop("module").join(about, "fqn").join(scores.select("fqn", *SCORES), "fqn", "left").na.fill(0.0, list(SCORES))
+    out = chunks.drop("module").join(about.hint("merge"), "fqn").join(scores.select("fqn", *SCORES).hint("merge"), "fqn", "left").na.fill(0.0, list(SCORES))
     for df, name in ((gather(depends, "dst", "src", "callers"), "callers"), (gather(implements, "src", "dst", "implementors"), "implementors")):
-        out = out.join(df, "fqn", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    out = out.join(named, "fqn", "left").withColumn("domain_terms", terms_json(F.col("domain_terms"))).withColumn("legacy", F.size("legacy_labels") > 0)
+        out = out.join(df.hint("merge"), "fqn", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    out = out.join(named.hint("merge"), "fqn", "left").withColumn("domain_terms", terms_json(F.col("domain_terms"))).withColumn("legacy", F.size("legacy_labels") > 0)
     said = texts.select(F.col("fqn").alias("__fqn"), F.col("method_id").alias("__method"), "text")
-    return out.join(said, (out["fqn"] == said["__fqn"]) & out["method_id"].eqNullSafe(said["__method"])).drop("__fqn", "__method")
+    return out.join(said.hint("merge"), (out["fqn"] == said["__fqn"]) & out["method_id"].eqNullSafe(said["__method"])).drop("__fqn", "__method")
 
 
 def chunk(classes: DataFrame, methods: DataFrame, depends: DataFrame, uses: DataFrame, calls: DataFrame) -> DataFrame:
@@ -151,10 +151,10 @@ def chunk(classes: DataFrame, methods: DataFrame, depends: DataFrame, uses: Data
     gather = lambda df, key, value, name: df.groupBy(F.col(key).alias("fqn")).agg(F.array_sort(F.collect_set(value)).alias(name))
     base = classes.select("fqn", "module", "content_hash", stereotype(F.col("labels")).alias("stereotype"))
     for df, key, value, name in ((depends, "src", "dst", "dependencies"), (uses, "fqn", "term_id", "terms"), (calls, "dst", "src", "callers"), (calls, "src", "dst", "callees")):
-        base = base.join(gather(df, key, value, name), "fqn", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+        base = base.join(gather(df, key, value, name).hint("merge"), "fqn", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     head = uuid5(F.concat("fqn", F.lit("#CLASS_HEADER")))
     headers = base.select(head.alias("point_id"), F.lit("CLASS_HEADER").alias("chunk_type"), F.lit(None).cast("string").alias("method_id"), head.alias("header_id"), *base.columns)
-    own = base.join(methods.select("fqn", "method_id"), "fqn")
+    own = base.join(methods.select("fqn", "method_id").hint("merge"), "fqn")
     return headers.unionByName(own.select(uuid5(F.col("method_id")).alias("point_id"), F.lit("METHOD").alias("chunk_type"), "method_id", head.alias("header_id"), *base.columns))
 
 

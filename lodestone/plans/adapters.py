@@ -118,7 +118,7 @@ def depends_on(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.crossJoin(F.broadcast(total))  # one row
         .select(F.col("fqn").alias("src"), F.explode(steps).alias("s"))
         .select("src", "s.to", "s.kind")
-        .join(ends, "to")
+        .join(ends.hint("merge"), "to")  # strings made of a few bytes a row, so Spark takes them for smaller than they are
         .select("src", "dst", "kind")
     )
 
@@ -137,7 +137,7 @@ def extends(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = classes(spark, sf_dir).select("id", "fqn")
     return (
         c.where("id > 0").select(F.col("fqn").alias("src"), F.expr("id div 2").alias("to"))
-        .join(c.select(F.col("id").alias("to"), F.col("fqn").alias("dst")), "to").select("src", "dst")
+        .join(c.select(F.col("id").alias("to"), F.col("fqn").alias("dst")).hint("merge"), "to").select("src", "dst")
     )
 
 
@@ -160,9 +160,11 @@ WORDS = (
 
 @shared
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted when this is called, so that Spark knows them to be fewer than the words they are joined with."""
     from lodestone.operators.lexicon import seed_criticality
+    from lodestone.plans.scratch import cut
 
-    t = class_words(spark, sf_dir).groupBy("term_id").agg(F.count(F.lit(1)).alias("usage_count"), F.min("fqn").alias("primary_fqn"))
+    t = cut(class_words(spark, sf_dir).groupBy("term_id").agg(F.count(F.lit(1)).alias("usage_count"), F.min("fqn").alias("primary_fqn")))
     size = F.length("term_id")
     return t.select(
         "term_id", F.initcap("term_id").alias("display_name"), "usage_count", "primary_fqn",

@@ -191,7 +191,7 @@ def chunk_texts(classes: DataFrame, methods: DataFrame, sources: DataFrame) -> D
     method_id, text): the header's text, where method_id is null, and one for each method, of classes whose source is there."""
     named = classes.where("source_path is not null").select("fqn", "simple_name", "package_name", F.col("source_path").alias("path"))
     own = methods.groupBy("fqn").agg(F.collect_set("method_id").alias("method_ids"))  # those of one class
-    rows = named.join(sources.where("content is not null").select("path", "content"), "path").join(own, "fqn", "left")
+    rows = named.hint("merge").join(sources.where("content is not null").select("path", "content"), "path").join(own.hint("merge"), "fqn", "left")
 
     def run(batches) -> Iterator:
         import pandas as pd

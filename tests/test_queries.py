@@ -37,3 +37,10 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and e.oracle_sql().keys() <= e.queries().keys()
+
+
+@pytest.mark.parametrize("name", ["chunk_points", "risk_enhanced"])
+def test_tables_of_all_classes_are_not_broadcast(spark, name):
+    plan = q.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    assert all("[term_id#" in x for x in joins) and "SortMergeJoin" in plan
